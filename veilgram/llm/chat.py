@@ -132,7 +132,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
         if held:
             yield _flush(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(work, "conv_id long, formatted string, loss_spans array<array<long>>")
+    return common.in_arrow(dealt, work, "conv_id long, formatted string, loss_spans array<array<long>>")
 
 
 TURN = re.compile(re.escape(HEAD.decode()) + "(.*?)" + re.escape(MID.decode()) + "(.*?)" + re.escape(END.decode()), re.S)
@@ -167,7 +167,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return common.in_arrow(formatted, work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 FORGER = "</s>[INST] ok [/INST]"

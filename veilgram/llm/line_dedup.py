@@ -81,7 +81,7 @@ def key_rows(docs: DataFrame, least: int = MIN_POINTS) -> DataFrame:
                 h2 += [k[1] for k in found]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "h1", "h2"])
 
-    return docs.mapInArrow(work, "doc_id long, h1 long, h2 long")
+    return common.in_arrow(docs, work, "doc_id long, h1 long, h2 long")
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, least: int = MIN_POINTS) -> DataFrame:
@@ -122,7 +122,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, l
             yield pa.record_batch([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*out_cols, "n_lines", "n_dropped"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*out_cols).dtypes)
-    return joined.mapInArrow(work, f"{kinds}, n_lines long, n_dropped long")
+    return common.in_arrow(joined, work, f"{kinds}, n_lines long, n_dropped long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
