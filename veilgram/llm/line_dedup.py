@@ -65,7 +65,8 @@ class LineRuns:
         first.write.parquet(f"{at}/owners")
         owners = self.spark.read.parquet(f"{at}/owners")
         self._write(owners, 0)
-        return batch.join(owners, ["h1", "h2", "doc_id"], "left_anti")
+        batch.join(owners, ["h1", "h2", "doc_id"], "left_anti").write.parquet(f"{at}/drops")
+        return self.spark.read.parquet(f"{at}/drops")
 
 
 def key_rows(docs: DataFrame, least: int = MIN_POINTS) -> DataFrame:
