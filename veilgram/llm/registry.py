@@ -1,10 +1,13 @@
 """Queries of the operators and their SQL."""
 
-from veilgram.llm import chat, line_dedup, shard
+from veilgram.llm import chat, line_dedup, merkle, mixing, shard, simhash
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
+    "op3_simhash": simhash.query,
+    "op7_merkle": merkle.query,
+    "op8_mixing": mixing.query,
     "op9_shard": shard.query,
     "op10_chat_format": chat.query,
 }
-ORACLES = {"op2_line_dedup": line_dedup.SQL}
+ORACLES = {"op2_line_dedup": line_dedup.SQL, "op8_mixing": mixing.SQL}
