@@ -57,19 +57,34 @@ def shares(cell: DataFrame, margin: str, given: DataFrame | None) -> DataFrame:
     return part.crossJoin(part.agg(F.sum("s").alias("all"))).select(margin, (F.col("s") / F.col("all")).alias("share"))  # one row
 
 
+#: Keys of a margin up to which its factors are sent to every task; beyond, they are joined by shuffle.
+SMALL_MARGIN = 20_000
+
+
 def raked(cell: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """source, lang, topic, tokens, w: w sums to 1. Margins are grouped with partial sums, joined back to the cells;
-    the lineage is cut each round."""
+    """source, lang, topic, tokens, w: w sums to 1. A cell's w is its tokens times a factor for each of its keys. A step
+    sets one margin's factors from partial sums over the cells with the other two margins' factors; factors, not
+    cells, are what each step writes, so that lineage and plans stay short."""
     cell = common.checkpointed(cell)
-    want = {m: common.checkpointed(shares(cell, m, (targets or {}).get(m))) for m in MARGINS}
-    now = cell.withColumn("w", F.col("tokens").cast("double"))
+    factors = {}
+    for m in MARGINS:
+        want = common.checkpointed(shares(cell, m, (targets or {}).get(m)))
+        factors[m] = (want, want.select(m, F.lit(1.0).alias(f"f_{m}")), want.count() <= SMALL_MARGIN)
+
+    def factored(skip: str = "") -> DataFrame:
+        out, w = cell, F.col("tokens").cast("double")
+        for m, (_, f, small) in factors.items():
+            if m != skip:
+                out, w = out.join(F.broadcast(f) if small else f, m), w * F.col(f"f_{m}")
+        return out.select("source", "lang", "topic", "tokens", w.alias("w"))
+
     for _ in range(rounds):
         for m in MARGINS:
-            factor = now.groupBy(m).agg(F.sum("w").alias("_sum")).join(want[m], m)
-            factor = factor.select(m, F.when(F.col("_sum") > 0, F.col("share") / F.col("_sum")).otherwise(0.0).alias("_f"))
-            now = now.join(factor, m).select("source", "lang", "topic", "tokens", (F.col("w") * F.col("_f")).alias("w"))
-        now = common.checkpointed(now)
-    return now
+            want, _, small = factors[m]
+            sums = factored(m).groupBy(m).agg(F.sum("w").alias("_sum")).join(want, m)
+            f = sums.select(m, F.when(F.col("_sum") > 0, F.col("share") / F.col("_sum")).otherwise(0.0).alias(f"f_{m}"))
+            factors[m] = (want, common.checkpointed(f), small)
+    return factored()
 
 
 def probabilities(cell: DataFrame) -> DataFrame:
