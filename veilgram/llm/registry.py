@@ -1,10 +1,12 @@
 """Queries of the operators and their SQL."""
 
-from veilgram.llm import chat, line_dedup, merkle, mixing, shard, simhash
+from veilgram.llm import chat, decontaminate, line_dedup, merkle, mixing, quality, shard, simhash
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
     "op3_simhash": simhash.query,
+    "op4_quality": quality.query,
+    "op5_decontaminate": decontaminate.query,
     "op7_merkle": merkle.query,
     "op8_mixing": mixing.query,
     "op9_shard": shard.query,
