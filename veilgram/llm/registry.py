@@ -1,8 +1,9 @@
 """Queries of the operators and their SQL."""
 
-from veilgram.llm import chat, decontaminate, line_dedup, merkle, mixing, quality, shard, simhash
+from veilgram.llm import chat, decontaminate, line_dedup, lm_score, merkle, mixing, quality, shard, simhash
 
 QUERIES = {
+    "op1_lm_score": lm_score.query,
     "op2_line_dedup": line_dedup.query,
     "op3_simhash": simhash.query,
     "op4_quality": quality.query,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_shard": shard.query,
     "op10_chat_format": chat.query,
 }
-ORACLES = {"op2_line_dedup": line_dedup.SQL, "op8_mixing": mixing.SQL}
+ORACLES = {"op1_lm_score": lm_score.SQL, "op2_line_dedup": line_dedup.SQL, "op8_mixing": mixing.SQL}
