@@ -1,6 +1,6 @@
 """Queries of the operators and their SQL."""
 
-from veilgram.llm import chat, decontaminate, line_dedup, lm_score, merkle, mixing, quality, shard, simhash
+from veilgram.llm import chat, decontaminate, html_tree, line_dedup, lm_score, merkle, mixing, quality, shard, simhash
 
 QUERIES = {
     "op1_lm_score": lm_score.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op4_quality": quality.query,
     "op5_decontaminate": decontaminate.query,
+    "op6_html_text": html_tree.query,
     "op7_merkle": merkle.query,
     "op8_mixing": mixing.query,
     "op9_shard": shard.query,
