@@ -28,6 +28,8 @@ def noise_key(seed: int, subset: Column, side: Column, rec_id: Column) -> Column
 def harden(bfs: DataFrame, bf_len: int, method: str, prob: float, seed: int) -> DataFrame:
     """type, side, rec_id, pos, n1 -> pos and n1 noised; each side and subset has noise of its own."""
     key = noise_key(seed, F.col("type"), F.col("side"), F.col("rec_id"))
+    # Rows are small and the digests costly: spread them, or adaptive execution packs them into one task.
+    bfs = bfs.repartition(bfs.sparkSession.sparkContext.defaultParallelism, "type", "side", "rec_id")
     noised = bfs.withColumn("pos", digest_noise(F.col("pos"), key, bf_len, method, prob))
     return noised.withColumn("n1", F.size("pos"))
 

@@ -109,9 +109,9 @@ FINAL = {
         FROM (SELECT p.type, p.rec_id AS probe_id, c.rec_id AS cand_id, {dice('p.pos', 'c.pos')} AS sim FROM side p JOIN side c ON p.type = c.type AND p.side = 'p' AND c.side = 'c'
           WHERE (p.type, p.rec_id) IN (SELECT (type, rec_id) FROM (SELECT type, rec_id, row_number() OVER (PARTITION BY type ORDER BY ord) AS i FROM typed WHERE type <> 'b') WHERE i <= 25)))
       JOIN recs a ON a.rec_id = probe_id JOIN recs b ON b.rec_id = cand_id WHERE place <= 5""",
-    "linkage_report": "SELECT type, metric, outcome, coalesce(n, 0) AS n FROM codes, (SELECT unnest(['og_bf_dice', 'blip_bf_dice']) AS metric), (SELECT unnest(["
+    "linkage_report": "SELECT type, metric, outcome, coalesce(n, 0) AS n FROM (SELECT type, metric, outcome FROM codes, (SELECT unnest(['og_bf_dice', 'blip_bf_dice']) AS metric), (SELECT unnest(["
     + ", ".join(f"'{o}'" for o in OUTCOMES)
-    + "]) AS outcome) LEFT JOIN (SELECT type, metric, outcome, count(*) AS n FROM (SELECT *, 'og_bf_dice' AS metric FROM clean_m UNION ALL SELECT *, 'blip_bf_dice' FROM noisy_m) GROUP BY ALL) USING (type, metric, outcome)",
+    + "]) AS outcome)) LEFT JOIN (SELECT type, metric, outcome, count(*) AS n FROM (SELECT *, 'og_bf_dice' AS metric FROM clean_m UNION ALL SELECT *, 'blip_bf_dice' FROM noisy_m) GROUP BY ALL) USING (type, metric, outcome)",
 }
 
 

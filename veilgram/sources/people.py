@@ -31,7 +31,9 @@ def people(raw: DataFrame, id_col: int, status_col: int, attrs: Sequence[int]) -
         raise ValueError(f"column {status_col} is {cols[status_col]!r}, not 'status_code'")
     at = lambda i: F.col(f"`{cols[i]}`")
     good = raw.filter(F.col(BAD).isNull()).select(at(id_col).alias("rec_id"), "ord", at(status_col).alias("status_code"), *[at(i).alias(f"attr{k + 1}") for k, i in enumerate(attrs)])
-    return good, raw.filter(F.col(BAD).isNotNull())
+    # The reader refuses to read the corrupt-record column alone, as a bare count would; nothing sorts before "".
+    read = F.coalesce(at(id_col), F.lit("")) < ""
+    return good, raw.filter(F.col(BAD).isNotNull() | read)
 
 
 def normalised(src: DataFrame, min_len: int = 2) -> DataFrame:

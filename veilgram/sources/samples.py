@@ -7,19 +7,20 @@ import ast
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilgram.config import ALL_TYPES
 
 HEADER = ["rec_id", "q_gram_set", "type"]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def literal_set(s: pd.Series) -> pd.Series:
     """Sorted members of a literal such as {'ab', "o'"}; literals only are evaluated."""
     return s.map(lambda x: sorted(set(ast.literal_eval(x)) if x != "set()" else ()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def set_literal(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "{" + ", ".join(map(repr, x)) + "}" if len(x) else "set()")
 
