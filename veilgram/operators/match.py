@@ -24,7 +24,9 @@ def sides(typed: DataFrame, bfs: DataFrame, base_type: str = "b") -> tuple[DataF
     """Probes and candidates from (type, rec_id) rows and encoded records."""
     full = typed.join(bfs, "rec_id")
     own = full.filter(F.col("type") != base_type)
-    kinds = F.broadcast(own.select("type").distinct())  # a closed list of codes
+    spark = typed.sparkSession
+    present = [r["type"] for r in typed.filter(F.col("type") != base_type).select("type").distinct().collect()]  # a closed list of codes
+    kinds = F.broadcast(spark.createDataFrame([(t,) for t in present], "type string"))
     base = full.filter(F.col("type") == base_type).drop("type").crossJoin(kinds)
     cands = own.unionByName(base).withColumnRenamed("rec_id", "cand_id")
     return own.withColumnRenamed("rec_id", "probe_id"), cands

@@ -22,8 +22,7 @@ def joined(c: str = "qs") -> F.Column:
 
 
 def linkage(spark: SparkSession, d: str, method: str = METHOD, noise: str = "md5") -> Linkage:
-    sample = voters(spark, d).sample.persist()  # k, encoding and joins read it again
-    return Linkage(sample, LinkConfig(bf_len=BF_LEN, flip_method=method, flip_prob=PROB, seed=SEED), noise)
+    return Linkage(voters(spark, d).sample, LinkConfig(bf_len=BF_LEN, flip_method=method, flip_prob=PROB, seed=SEED), noise)
 
 
 def rec_upsert(s: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilgram.config import METRICS, OUTCOMES, SUBSET_TYPES, LinkConfig, hash_count
 from veilgram.functions.hashing import HashFamily
 from veilgram.operators import encode, harden, match, stats
+from veilgram.plans.lineage import cut
 
 
 class Linkage:
@@ -27,18 +28,19 @@ class Linkage:
 
     @cached_property
     def bfs(self) -> DataFrame:
-        return encode.encode(self.sample, self.cfg.bf_len, self.k, self.family)
+        return cut(encode.encode(self.sample, self.cfg.bf_len, self.k, self.family))
 
     @cached_property
     def sides(self) -> tuple[DataFrame, DataFrame]:
-        return match.sides(self.sample.select("rec_id", "type"), self.bfs)
+        probes, cands = match.sides(self.sample.select("rec_id", "type"), self.bfs)
+        return cut(probes), cut(cands)
 
     @cached_property
     def hardened(self) -> DataFrame:
         """type, side, rec_id, pos, n1 under md5 noise."""
         probes, cands = self.sides
         both = probes.select("type", F.lit("p").alias("side"), F.col("probe_id").alias("rec_id"), "pos", "n1").unionByName(cands.select("type", F.lit("c").alias("side"), F.col("cand_id").alias("rec_id"), "pos", "n1"))
-        return harden.harden(both, self.cfg.bf_len, self.cfg.flip_method, self.cfg.flip_prob, self.cfg.seed)
+        return cut(harden.harden(both, self.cfg.bf_len, self.cfg.flip_method, self.cfg.flip_prob, self.cfg.seed))
 
     @cached_property
     def clean(self) -> DataFrame:

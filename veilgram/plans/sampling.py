@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilgram.config import SampleConfig
 from veilgram.operators import dedupe, select, stats
+from veilgram.plans.lineage import cut
 from veilgram.sources import people
 
 
@@ -29,7 +30,7 @@ class Sampling:
 
     @cached_property
     def records(self) -> DataFrame:
-        return dedupe.records(self.qgrams)
+        return cut(dedupe.records(self.qgrams))
 
     @cached_property
     def cfg(self) -> SampleConfig:
@@ -40,11 +41,11 @@ class Sampling:
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return stats.ranked(stats.frequencies(self.records))
+        return cut(stats.ranked(stats.frequencies(self.records)))
 
     @cached_property
     def profile(self) -> DataFrame:
-        return stats.profile(self.records, self.ranks).persist()
+        return cut(stats.profile(self.records, self.ranks))
 
     @cached_property
     def subsets(self) -> dict[str, DataFrame]:
@@ -53,7 +54,7 @@ class Sampling:
 
     @cached_property
     def nine(self) -> DataFrame:
-        return select.union(list(self.subsets.values())).select("rec_id", "ord", "type").persist()
+        return cut(select.union(list(self.subsets.values())).select("rec_id", "ord", "type"))
 
     @cached_property
     def order(self) -> DataFrame:
@@ -71,7 +72,7 @@ class Sampling:
     @cached_property
     def sample(self) -> DataFrame:
         """rec_id, ord, type, qs."""
-        return self.typed.join(self.records.select("rec_id", "qs"), "rec_id")
+        return cut(self.typed.join(self.records.select("rec_id", "qs"), "rec_id"))
 
 
 def voters(spark, sf_dir: str) -> Sampling:
