@@ -85,7 +85,6 @@ def _hints(attrs: str) -> tuple[list[int], bool, str]:
     return found, hidden, mark
 
 
-@lru_cache(4096)
 def _element(tag: str, attrs: str, depth: int) -> tuple[np.ndarray, bool, str]:
     v = np.zeros(N_FEATURES, np.float32)
     if tag in TAGS:
@@ -108,7 +107,9 @@ def _segment(text: str, link: int, tag: str) -> np.ndarray:
     return v
 
 
-def parse(source: str) -> Page:
+def parse(source: str, known: dict | None = None) -> Page:
+    """known: features of elements seen before, shared by the pages of a batch."""
+    known = {} if known is None else known
     page = Page([-1], [0], [_element("html", "", 0)[0]], {}, [""])
     stack, held, at, link, in_link, skip = [("html", 0)], [], 0, 0, 0, 0
 
@@ -181,7 +182,10 @@ def parse(source: str) -> Page:
                 pop()
             if tag == "hr":
                 continue
-            v, hidden, mark = _element(tag, m[3], min(page.depth[stack[-1][1]] + 1, 10))
+            what = tag, m[3], min(page.depth[stack[-1][1]] + 1, 10)
+            if what not in known:
+                known[what] = _element(*what)
+            v, hidden, mark = known[what]
             page.parent.append(stack[-1][1])
             page.depth.append(page.depth[stack[-1][1]] + 1)
             page.feats.append(v)
@@ -353,7 +357,7 @@ def model(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]
 def extract(sources: list[str], weights: tuple[np.ndarray, np.ndarray]) -> list[str]:
     out: list[str] = []
     held: list[Page] = []
-    size = 0
+    size, known = 0, {}
 
     def done() -> None:
         nonlocal held, size
@@ -365,7 +369,7 @@ def extract(sources: list[str], weights: tuple[np.ndarray, np.ndarray]) -> list[
         held, size = [], 0
 
     for s in sources:
-        held.append(parse(s))
+        held.append(parse(s, known))
         size += len(held[-1].parent)
         if size >= BATCH_NODES:
             done()
