@@ -10,7 +10,7 @@ Targets default to TEMPERATURE: a margin's share is the square root of its token
 share) for a margin replaces that; keys it lacks get share 0, keys the data lacks are left out, the rest is normalised.
 
 Defined cases: null source or lang is the key '(null)'; null or empty text weighs 1; a null doc_id is hashed as
-empty; equal rows share one fate; an empty table gives no rows; a topic column in the input is replaced."""
+empty; equal rows share one fate; an empty table gives no rows; columns topic, tokens and prob in the input are replaced."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ def topic(text: Column, words: Column) -> Column:
 
 def marked(docs: DataFrame) -> DataFrame:
     """docs with tokens and topic; the keys of the cells are _source, _lang and topic."""
-    rows = docs.drop("topic", "tokens").withColumn("tokens", weight(F.col("text")))
+    rows = docs.drop("topic", "tokens", "prob").withColumn("tokens", weight(F.col("text")))
     return rows.withColumns({"topic": topic(F.col("text"), F.col("tokens")), "_source": F.coalesce("source", F.lit("(null)")), "_lang": F.coalesce("lang", F.lit("(null)"))})
 
 
