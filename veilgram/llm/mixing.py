@@ -57,34 +57,30 @@ def shares(cell: DataFrame, margin: str, given: DataFrame | None) -> DataFrame:
     return part.crossJoin(part.agg(F.sum("s").alias("all"))).select(margin, (F.col("s") / F.col("all")).alias("share"))  # one row
 
 
-#: Keys of a margin up to which its factors are sent to every task; beyond, they are joined by shuffle.
+#: Keys of a margin up to which its sums are sent to every task; beyond, they are joined by shuffle.
 SMALL_MARGIN = 20_000
+#: Cells a partition while raking.
+CELLS = 100_000
 
 
 def raked(cell: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """source, lang, topic, tokens, w: w sums to 1. A cell's w is its tokens times a factor for each of its keys. A step
-    sets one margin's factors from partial sums over the cells with the other two margins' factors; factors, not
-    cells, are what each step writes, so that lineage and plans stay short."""
+    """source, lang, topic, tokens, w: w sums to 1. The target shares are columns of the cells, so a step is one join: of
+    the cells with one margin's sums. Each step writes the cells, which cuts the lineage."""
     cell = common.checkpointed(cell)
-    factors = {}
+    rows, small = cell.withColumn("w", F.col("tokens").cast("double")), {}
     for m in MARGINS:
-        want = common.checkpointed(shares(cell, m, (targets or {}).get(m)))
-        factors[m] = (want, want.select(m, F.lit(1.0).alias(f"f_{m}")), want.count() <= SMALL_MARGIN)
-
-    def factored(skip: str = "") -> DataFrame:
-        out, w = cell, F.col("tokens").cast("double")
-        for m, (_, f, small) in factors.items():
-            if m != skip:
-                out, w = out.join(F.broadcast(f) if small else f, m), w * F.col(f"f_{m}")
-        return out.select("source", "lang", "topic", "tokens", w.alias("w"))
-
+        want = common.checkpointed(shares(cell, m, (targets or {}).get(m)).withColumnRenamed("share", f"share_{m}"))
+        small[m] = want.count() <= SMALL_MARGIN
+        rows = rows.join(F.broadcast(want) if small[m] else want, m)
+    parts = 1 + cell.count() // CELLS
+    rows = common.checkpointed(rows.coalesce(parts))
     for _ in range(rounds):
         for m in MARGINS:
-            want, _, small = factors[m]
-            sums = factored(m).groupBy(m).agg(F.sum("w").alias("_sum")).join(want, m)
-            f = sums.select(m, F.when(F.col("_sum") > 0, F.col("share") / F.col("_sum")).otherwise(0.0).alias(f"f_{m}"))
-            factors[m] = (want, common.checkpointed(f), small)
-    return factored()
+            sums = rows.groupBy(m).agg(F.sum("w").alias("_sum"))
+            joined = rows.join(F.broadcast(sums) if small[m] else sums, m)
+            w = F.when(F.col("_sum") > 0, F.col("w") * F.col(f"share_{m}") / F.col("_sum")).otherwise(0.0)
+            rows = common.checkpointed(joined.withColumn("w", w).drop("_sum").coalesce(parts))
+    return rows.select("source", "lang", "topic", "tokens", "w")
 
 
 def probabilities(cell: DataFrame) -> DataFrame:
