@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,13 +65,20 @@ def id_cuts(df: DataFrame, column: str, n: int) -> list[int]:
 
 
 def range_number(c: Column, cuts: list[int]) -> Column:
-    """0-based range of c: the number of cut points at or below it. Null goes to the last range."""
-    return _search(c, cuts, 0)
+    """0-based range of c: the number of cut points at or below it. Null goes to the last range. The cuts are constant
+    arrays in blocks, searched by block and then within it: the generated code doesn't grow with their number."""
+    if not cuts:
+        return F.lit(0)
+    size, c = math.isqrt(len(cuts)) + 1, F.coalesce(c, F.lit(LAST))
+    blocks = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    block = _at_most(_longs([b[0] for b in blocks]), c)
+    inside = _at_most(F.get(F.array(*map(_longs, blocks)), block - 1), c)
+    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * size + inside)
 
 
-def _search(c: Column, cuts: list[int], base: int) -> Column:
-    """A balanced tree of comparisons, so that a row costs log2 of the cuts."""
-    if not cuts:
-        return F.lit(base)
-    mid = len(cuts) // 2
-    return F.when(c < F.lit(cuts[mid]), _search(c, cuts[:mid], base)).otherwise(_search(c, cuts[mid + 1 :], base + mid + 1))
+def _longs(xs: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<long>")
+
+
+def _at_most(xs: Column, c: Column) -> Column:
+    return F.size(F.filter(xs, lambda x: x <= c))
