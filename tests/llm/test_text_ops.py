@@ -205,6 +205,49 @@ def test_near_dups(spark, empty):
     assert near_dups.deduplicated(empty).count() == 0
 
 
+def test_near_dups_against_jaccard(spark):
+    """Every pair at 0.8 and more is in one group, and no other links, against all pairs."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = []
+    for _ in range(100):
+        base = [word() for _ in range(rng.choice([6, 20, 90, 250]))]
+        for _ in range(3):
+            t = list(base)
+            for p in rng.sample(range(len(t)), rng.randint(0, 1 + len(t) // 40)):
+                t[p : p + 1] = rng.choice([[], [word()], [word(), word()]])
+            texts.append(" ".join(t))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in enumerate(map(str.split, texts))}
+    want = grouped(sets, lambda x, y: 9 * len(x & y) >= 4 * (len(x) + len(y)))
+    close = sum(0.75 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.85 for a in sets for b in range(a))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert close > 20 and {r.doc_id for r in near_dups.deduplicated(frame).collect()} == set(want.values())
+
+
+def star_texts():
+    """A centre of middle id; each copy is within 0.8 of it, by other words replaced, and not of each other."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    base = [word() for _ in range(400)]
+    texts = []
+    for _ in range(1500):
+        t = list(base)
+        for p in rng.sample(range(400), 7):
+            t[p] = word()
+        texts.append(" ".join(t))
+    texts.insert(750, " ".join(base))
+    return texts
+
+
+def test_near_dups_star(spark, monkeypatch):
+    texts = star_texts()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    assert [r.doc_id for r in near_dups.deduplicated(frame).collect()] == [0]
+    monkeypatch.setattr(near_dups, "BLOCK", 40)
+    monkeypatch.setattr(near_dups, "at_hubs", lambda left, order: left.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b")))
+    assert [r.doc_id for r in near_dups.deduplicated(frame.filter("doc_id BETWEEN 650 AND 850")).collect()] == [650]
+
+
 def test_merkle(spark, docs, empty):
     rows = sorted((i, t or "") for i, t, *_ in odd_rows())
     got = {r.doc_id: r for r in merkle.compared(docs).collect()}
