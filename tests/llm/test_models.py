@@ -123,6 +123,34 @@ def test_decontamination(spark):
     assert decontaminate.hits(frame.limit(0), bench).count() == 0 and decontaminate.hits(frame, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("where", ["start", "middle", "end"])
+def test_decontamination_gathered_edits(where):
+    """Passages with all edits up to LIMIT at one place: missing or replaced words."""
+    rng = np.random.default_rng(3)
+    word = lambda n: rng.integers(1, 500, n).astype(np.uint64)
+    lengths = [1, 3, 4, 5, 9, 10, 15, 31, 50, 64, 100, 127]
+    items = decontaminate.Items(list(range(len(lengths))), [" ".join(f"w{w}" for w in word(n)).encode() for n in lengths])
+    docs, want = [], {}
+    for i, item in enumerate(items.words):
+        k = int(decontaminate.LIMIT * len(item))
+        p = {"start": 0, "middle": (len(item) - k) // 2, "end": len(item) - k}[where]
+        for swap in (np.zeros(0, np.uint64), word(k)):
+            want[len(docs), i] = k
+            docs.append(np.concatenate([word(60), item[:p], swap, item[p + k :], word(60)]))
+    got = {(d, i): dist for d, i, dist, _ in decontaminate.matches(items, docs)}
+    assert all(got.get(x, 1000) <= k for x, k in want.items())
+
+
+def test_decontamination_first_word():
+    rng = np.random.default_rng(2)
+    item = [f"w{w}" for w in rng.integers(0, 900, 30)]
+    items = decontaminate.Items([0], [" ".join(item).encode()])
+    for lead in (0, 3, 17):
+        for kept in (item, item[:10] + item[12:]):
+            doc = decontaminate.words(" ".join([*["x"] * lead, *kept, "y", "y"]).encode())
+            assert decontaminate.matches(items, [doc]) == [(0, 0, 30 - len(kept), lead)]
+
+
 def test_distances():
     rng = np.random.default_rng(1)
     items = [rng.integers(2, 6, rng.integers(1, 9)).astype(np.uint64) for _ in range(60)]

@@ -1,21 +1,20 @@
-"""Benchmark decontamination: the CGK random walk maps edit distance to Hamming distance; bit-sampling LSH finds
-candidate windows, and an exact edit distance verifies them.
+"""Benchmark decontamination: pieces of an item that an edit can't all reach find the places, and an exact edit distance
+verifies them.
 
-Texts are sequences of words (A-Z lowered, ASCII punctuation as white space), each a 64-bit hash. The walk of a window reads
-the word under its pointer and, by a random bit of (repetition, step, word), moves on or reads it again; two
-sequences a few edits apart fall back into step soon, so their outputs agree at most steps. An item of L words belongs
-to the class of m steps, the largest power of two up to L; windows of that size begin at every word of every document.
-A repetition samples STEPS steps of the walk; a window that agrees with an item at all of them is a candidate. With
-a share MISS of disagreeing steps, repetitions are as many as bring the chance of one full agreement to RECALL. As
-soon as a sampled word occurs at no item's sample, the window is dropped: the full key could not match either.
+Texts are sequences of words (A-Z lowered, ASCII punctuation as white space), each a 64-bit hash. A match of an item of L
+words is a part of a document at up to k = LIMIT * L word insertions, deletions and replacements. The item is cut into
+k + 1 pieces over its whole length; each edit touches one piece at most, so every match holds a piece unchanged, wherever
+its edits lie. The first q = L // (k + 1) words of each piece, QMAX at most, are looked up at every word of every document.
 
-A candidate is verified on an item-sized stretch and its margins: the smallest number of word insertions, deletions and
-replacements that turn the item into some part of it, against a limit of LIMIT times L. Copies always pass.
+A hit gives the item's place to within k words. Hits of one item at about the same place are verified once, on a stretch
+that holds whatever match any of them belongs to: the smallest number of edits that turn the item into some part of the
+stretch, against the limit. So all matches are found, and each distance is the smallest in the document.
 
 Items are sent to tasks in portions of at most MAX_BYTES; more items mean further passes, not a larger broadcast.
 
 Defined cases: null and wordless texts and items match nothing; equal (doc_id, item_id) pairs are one row, the best; a
-null doc_id is kept as such; empty tables give no rows; very long texts are searched whole."""
+null doc_id is kept as such; empty tables give no rows; very long texts are searched whole; start_word is the first word of
+a part at the smallest distance."""
 
 from __future__ import annotations
 
@@ -32,8 +31,7 @@ from pyspark.sql import functions as F
 
 from veilgram.llm import common
 
-STEPS, MISS, RECALL, LIMIT, SEED = 4, 0.2, 0.95, 0.2, 5
-REPETITIONS = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - MISS) ** STEPS))
+LIMIT, QMAX, SIEVE_BITS = 0.2, 8, 20
 MAX_BYTES = 8 << 20
 PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 U = np.uint64
@@ -44,74 +42,61 @@ def words(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
 
 
-def random_words(seed: int, n: int) -> np.ndarray:
-    """n odd multipliers."""
-    return np.array([xxhash.xxh3_64_intdigest(f"{seed}|{i}".encode()) | 1 for i in range(n)], np.uint64)
+def grams(tokens: np.ndarray, q: int) -> np.ndarray:
+    """The hash of the q words from each place on where there are q."""
+    n = max(0, len(tokens) - q + 1)
+    key = np.zeros(n, U)
+    for k in range(q):
+        key = (key ^ tokens[k : k + n]) * U(0x9E3779B97F4A7C15)
+        key ^= key >> U(29)
+    return key
 
 
-class Plan:
-    """What one repetition of one class does: its sampled steps and step multipliers."""
-
-    def __init__(self, m: int, r: int):
-        rng = np.random.default_rng([SEED, m, r])
-        self.m = m
-        self.samples = sorted(rng.choice(m, min(STEPS, m), replace=False).tolist())
-        self.turns = random_words(SEED * 1000003 + m * 1009 + r, m)
-
-    def keys(self, tokens: np.ndarray, starts: np.ndarray, sieve: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(starts left, keys, sampled words). tokens end with m zeros. sieve: a flag by the low 16 bits of the words
-        that items have at each sample."""
-        at, key, seen = starts.astype(np.int64), np.zeros(len(starts), U), []
-        for step in range(self.samples[-1] + 1):
-            word = tokens[at]
-            if step in self.samples:
-                if sieve is not None:
-                    ok = sieve[len(seen)][(word & U(0xFFFF)).astype(np.int64)]
-                    starts, at, key, word = starts[ok], at[ok], key[ok], word[ok]
-                seen.append(word)
-                key = (key ^ word) * U(0x9E3779B97F4A7C15)
-            if step < self.samples[-1]:
-                at += ((word * self.turns[step]) >> U(63)).astype(np.int64)
-        return starts, key, seen
+def pieces(n: int, limit: float) -> tuple[int, list[int]]:
+    """Words looked up of each piece, and the first words of the pieces, of an item of n words."""
+    k = int(limit * n) + 1
+    return min(QMAX, n // k), [j * n // k for j in range(k)]
 
 
 class Items:
-    """The items of one portion, ready to look windows up in."""
+    """The items of one portion, ready to look pieces up in."""
 
-    def __init__(self, ids: list[int], texts: list[bytes]):
+    def __init__(self, ids: list[int], texts: list[bytes], limit: float = LIMIT):
         both = [(i, w) for i, t in zip(ids, texts, strict=True) if len(w := words(t))]
-        self.ids, self.words = [i for i, _ in both], [w for _, w in both]
-        self.plans = []
-        size = np.array([1 << (len(w).bit_length() - 1) for w in self.words], np.int64)
-        for m in np.unique(size).tolist():
-            which = np.flatnonzero(size == m)
-            flat = np.concatenate([*[self.words[k] for k in which], np.zeros(m, U)])
-            starts = np.cumsum([0, *[len(self.words[k]) for k in which[:-1]]])
-            for r in range(REPETITIONS):
-                plan = Plan(m, r)
-                _, key, seen = plan.keys(flat, starts)
-                sieve = []
-                for w in seen:
-                    flags = np.zeros(1 << 16, bool)
-                    flags[(w & U(0xFFFF)).astype(np.int64)] = True
-                    sieve.append(flags)
-                order = np.argsort(key, kind="stable")
-                self.plans.append((plan, sieve, key[order], which[order]))
-
-    def candidates(self, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) pairs without repeats; the first n of tokens are words."""
-        got = [np.zeros(0, np.int64)]
-        every = np.arange(n)
-        padded = np.concatenate([tokens, np.zeros(max((p.m for p, *_ in self.plans), default=0), U)])
-        for plan, sieve, keys, which in self.plans:
-            starts, key, _ = plan.keys(padded, every, sieve)
-            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        self.ids, self.words, self.limit = [i for i, _ in both], [w for _, w in both], limit
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        for i, w in enumerate(self.words):
+            q, at = pieces(len(w), limit)
+            key = grams(w, q)
+            by.setdefault(q, []).extend((int(key[o]), i, o) for o in at)
+        self.tables = []
+        for q, rows in sorted(by.items()):
+            key, item, at = np.array([r[0] for r in rows], U), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            order = np.argsort(key, kind="stable")
+            sieve = np.zeros(1 << SIEVE_BITS, bool)
+            sieve[key >> U(64 - SIEVE_BITS)] = True
+            self.tables.append((q, sieve, key[order], item[order], at[order]))
+
+    def candidates(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, block) without repeats: the item may begin about the block of k + 1 words, counted from the
+        document's first. ends: of each document."""
+        got = [np.zeros((3, 0), np.int64)]
+        for q, sieve, keys, items, offsets in self.tables:
+            key = grams(tokens, q)
+            at = np.flatnonzero(sieve[key >> U(64 - SIEVE_BITS)])
+            lo, hi = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
             k = hi - lo
             rep = np.repeat(np.arange(len(k)), k)
-            item = which[lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)]
-            got.append(starts[rep] * len(self.ids) + item)
-        pairs = np.unique(np.concatenate(got))
-        return pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
+            row = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
+            doc = np.searchsorted(ends, at[rep], "right")
+            begin = at[rep] - np.concatenate([[0], ends])[doc] - offsets[row]
+            item = items[row]
+            got.append(np.unique(np.stack([doc, item, begin // (self.edits(item) + 1)]), axis=1))
+        return tuple(np.unique(np.concatenate(got, axis=1), axis=1))
+
+    def edits(self, item: np.ndarray) -> np.ndarray:
+        return (self.limit * self.size[item]).astype(np.int64)
 
 
 def distances(items: list[np.ndarray], stretches: list[np.ndarray]) -> np.ndarray:
@@ -133,36 +118,48 @@ def distances(items: list[np.ndarray], stretches: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def matches(items: Items, docs: list[np.ndarray], limit: float = LIMIT) -> list[tuple[int, int, int, int]]:
+def edit_row(item: np.ndarray, stretch: np.ndarray, anywhere: bool) -> np.ndarray:
+    """Edit distances of the item to the parts of the stretch that end at each place and begin anywhere, or at its start."""
+    col = np.arange(len(stretch) + 1)
+    row = np.zeros_like(col) if anywhere else col
+    for i, w in enumerate(item, 1):
+        new = np.concatenate([[i], np.minimum(row[:-1] + (stretch != w), row[1:] + 1)])
+        row = np.minimum.accumulate(new - col) + col
+    return row
+
+
+def first_word(item: np.ndarray, stretch: np.ndarray) -> int:
+    """Where the first of the nearest parts begins."""
+    end = int(edit_row(item, stretch, True).argmin())
+    return end - int(edit_row(item[::-1], stretch[:end][::-1], False).argmin())
+
+
+def matches(items: Items, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
     """(document, item, distance, first word) of the best match of each pair."""
     if not items.ids or not docs:
         return []
-    size = np.array([len(d) for d in docs], np.int64)
-    first = np.cumsum(size) - size
-    tokens = np.concatenate(docs)
-    start, item = items.candidates(tokens, len(tokens))
-    doc = np.searchsorted(first + size, start, "right")
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for a in range(0, len(start), 1000):
-        cut, want = [], []
-        for s, k, d in zip(start[a : a + 1000].tolist(), item[a : a + 1000].tolist(), doc[a : a + 1000].tolist(), strict=True):
-            w = items.words[k]
-            slack = int(limit * len(w)) + 1
-            cut.append(tokens[max(first[d], s - slack) : min(first[d] + size[d], s + len(w) + slack)])
-            want.append(w)
-        for s, k, d, dist in zip(start[a : a + 1000].tolist(), item[a : a + 1000].tolist(), doc[a : a + 1000].tolist(), distances(want, cut).tolist(), strict=True):
-            if dist <= limit * len(items.words[k]):
-                best[d, k] = min(best.get((d, k), (dist, s - int(first[d]))), (dist, s - int(first[d])))
-    return [(d, k, dist, at) for (d, k), (dist, at) in sorted(best.items())]
-
-
-def portions(benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> Iterator[Items]:
+    doc, item, block = items.candidates(np.concatenate(docs), np.cumsum([len(d) for d in docs]))
+    order = np.argsort(items.size[item], kind="stable")  # little padding
+    doc, item, block = doc[order], item[order], block[order]
+    k = items.edits(item)
+    lo, hi = np.maximum(0, block * (k + 1) - k), block * (k + 1) + 2 * k + items.size[item]
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for a in range(0, len(doc), 1000):
+        part = list(zip(doc[a : a + 1000].tolist(), item[a : a + 1000].tolist(), lo[a : a + 1000].tolist(), hi[a : a + 1000].tolist(), strict=True))
+        dist = distances([items.words[i] for _, i, _, _ in part], [docs[d][x:y] for d, _, x, y in part])
+        for (d, i, x, y), n, most in zip(part, dist.tolist(), k[a : a + 1000].tolist(), strict=True):
+            if n <= most:
+                best[d, i] = min(best.get((d, i), (n, x, y)), (n, x, y))
+    return [(d, i, n, x + first_word(items.words[i], docs[d][x:y])) for (d, i), (n, x, y) in sorted(best.items())]
+
+
+def portions(benchmark: DataFrame, max_bytes: int = MAX_BYTES, limit: float = LIMIT) -> Iterator[Items]:
     rows = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     n = max(1, math.ceil(1.5 * total / max_bytes)) if total > max_bytes else 1
     for p in range(n):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == p).orderBy("item_id", "text").collect()  # about max_bytes
-        yield Items([r["item_id"] for r in part], [r["text"].encode() for r in part])
+        yield Items([r["item_id"] for r in part], [r["text"].encode() for r in part], limit)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -174,14 +171,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, limit: float = LIMIT) -> DataFra
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column(0).to_pylist()
-                found = matches(items, [words(t) for t in common.raw(b.column(1))], limit)
+                found = matches(items, [words(t) for t in common.raw(b.column(1))])
                 rows = [(ids[d], items.ids[k], dist, len(items.words[k]), at) for d, k, dist, at in found]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "distance", "n_words", "start_word"])
 
         return common.in_arrow(slim, work, schema)
 
-    found = reduce(DataFrame.unionByName, map(searched, portions(benchmark)))
+    found = reduce(DataFrame.unionByName, map(searched, portions(benchmark, limit=limit)))
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start_word", "n_words")).alias("m"))
     return best.select("doc_id", "item_id", "m.distance", "m.n_words", "m.start_word", (F.lit(1.0) - F.col("m.distance") / F.col("m.n_words")).alias("similarity"))
 
