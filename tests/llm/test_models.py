@@ -141,6 +141,25 @@ def test_decontamination_gathered_edits(where):
     assert all(got.get(x, 1000) <= k for x, k in want.items())
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_decontamination_recall_of_edited(share):
+    """Edited passages alone, edits anywhere: all that brute force finds up to LIMIT, at the same distance."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(400)}"
+    texts = [[word() for _ in range(rng.randint(20, 127))] for _ in range(40)]
+    items = decontaminate.Items(list(range(40)), [" ".join(t).encode() for t in texts])
+    docs = []
+    for t in texts:
+        t = list(t)
+        for p in sorted(rng.sample(range(len(t)), max(1, int(share * len(t)))), reverse=True):
+            t[p : p + 1] = rng.choice([[], [word()], [t[p], word()]])
+        docs.append([*[word() for _ in range(40)], *t, *[word() for _ in range(40)]])
+    want = {(i, i): d for i, t in enumerate(texts) if 0 < (d := edit_brute(t, docs[i])) <= decontaminate.LIMIT * len(t)}
+    coded = [decontaminate.words(" ".join(d).encode()) for d in docs]
+    got = {(d, i): dist for d, i, dist, _ in decontaminate.matches(items, coded)}
+    assert len(want) > 30 and {x: got.get(x) for x in want} == want
+
+
 def test_decontamination_first_word():
     rng = np.random.default_rng(2)
     item = [f"w{w}" for w in rng.integers(0, 900, 30)]
