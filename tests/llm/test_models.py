@@ -170,6 +170,14 @@ def test_decontamination_first_word():
             assert decontaminate.matches(items, [doc]) == [(0, 0, 30 - len(kept), lead)]
 
 
+def test_clean_judges_rows_without_id(spark):
+    item = "a passage of the benchmark that must not be in here"
+    rows = [(None, f"so {item} it is"), (None, "a clean text"), (None, "a clean text"), (1, item), (2, "clean too")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.clean(frame, bench).collect()) == [(0, "a clean text")] * 2 + [(2, "clean too")]
+
+
 def test_distances():
     rng = np.random.default_rng(1)
     items = [rng.integers(2, 6, rng.integers(1, 9)).astype(np.uint64) for _ in range(60)]

@@ -35,6 +35,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def own_ids(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a further column: the doc_id, or a number of its own from the largest down for each row without one."""
+    number = F.lit(LAST) - F.monotonically_increasing_id()
+    unnamed = checkpointed(docs.filter("doc_id IS NULL").withColumn(name, number))  # so that the numbers stay
+    return docs.filter("doc_id IS NOT NULL").withColumn(name, F.col("doc_id").cast("long")).unionByName(unnamed)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -184,9 +184,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, limit: float = LIMIT) -> DataFra
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; a null doc_id goes if any such row is contaminated."""
-    bad = hits(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the contaminated ones; each row without doc_id is judged on its own text."""
+    own = common.own_ids(docs, "_own")
+    bad = hits(own.select(F.col("_own").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_own")).distinct()
+    return own.join(bad, "_own", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
