@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,15 +14,18 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id in orders: after all others.
 LAST = (1 << 63) - 1
+#: Rows without doc_id are ordered from here on.
+UNNAMED = 1 << 62
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local runs)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run in one process."""
     sc = spark.sparkContext
     place = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="checkpoints-")
-    if not sc.getCheckpointDir():
         sc.setCheckpointDir(place)
     return place
 
@@ -30,16 +34,45 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+class Scratch:
+    """Tables of one run, as Parquet in the shared folder: lineage is cut there, and any executor can read them again. A
+    table put under a name takes the place of the earlier one, whose files are deleted once the new one is written."""
 
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.root, self.n, self.at = spark, fresh_folder(spark, what), 0, {}
 
-def own_ids(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a further column: the doc_id, or a number of its own from the largest down for each row without one."""
-    number = F.lit(LAST) - F.monotonically_increasing_id()
-    unnamed = checkpointed(docs.filter("doc_id IS NULL").withColumn(name, number))  # so that the numbers stay
-    return docs.filter("doc_id IS NOT NULL").withColumn(name, F.col("doc_id").cast("long")).unionByName(unnamed)
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path, self.n = f"{self.root}/{name}-{self.n}", self.n + 1
+        df.write.parquet(path)
+        self.drop(name)
+        self.at[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for path in filter(None, (self.at.pop(name, None) for name in names)):
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def ident(docs: DataFrame) -> Column:
+    """A whole number for each row: its doc_id, else one after all usual ids by hash of the text, so that rows without doc_id
+    neither count as one document (but equal texts do) nor meet in one range."""
+    number = F.col("doc_id").cast("long")
+    if "text" not in docs.columns:
+        return F.coalesce(number, F.lit(LAST))
+    return F.coalesce(number, F.lit(UNNAMED) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(UNNAMED - 1))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this one that is no column of df, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -78,12 +111,13 @@ def range_number(c: Column, cuts: list[int]) -> Column:
         return F.lit(0)
     size, c = math.isqrt(len(cuts)) + 1, F.coalesce(c, F.lit(LAST))
     blocks = [cuts[i : i + size] for i in range(0, len(cuts), size)]
-    block = _at_most(_longs([b[0] for b in blocks]), c)
-    inside = _at_most(F.get(F.array(*map(_longs, blocks)), block - 1), c)
+    block = _at_most(longs([b[0] for b in blocks]), c)
+    inside = _at_most(F.get(F.array(*map(longs, blocks)), block - 1), c)
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * size + inside)
 
 
-def _longs(xs: list[int]) -> Column:
+def longs(xs: list[int]) -> Column:
+    """A constant array."""
     return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<long>")
 
 

@@ -15,10 +15,11 @@ def _state(e: DataFrame) -> tuple[int, int]:
 
 def stars(edges: DataFrame) -> DataFrame:
     """edges (a, b) of one orderable type -> (b, a): each node but a component's smallest, with the smallest. Every
-    step keeps a number of edges no larger than before; the lineage is cut each round; rounds grow with the
-    logarithm squared of the longest path."""
+    step keeps a number of edges no larger than before; each round's edges are written and the last ones' deleted; rounds
+    grow with the logarithm squared of the longest path."""
+    scratch = common.Scratch(edges.sparkSession, "stars")
     e = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = common.checkpointed(e)
+    e = scratch.put("edges", e)
     before = _state(e)
     while before[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -26,7 +27,7 @@ def stars(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        e = common.checkpointed(small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct())
+        e = scratch.put("edges", small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct())
         now = _state(e)
         if now == before:
             break

@@ -127,9 +127,11 @@ def keyed(nodes: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """a, b: fingerprints at 2 or fewer differing bits that connect all such."""
-    keys = common.checkpointed(keyed(nodes).repartition(common.partitions(nodes.sparkSession), "key"))
+    scratch = common.Scratch(nodes.sparkSession, "simhash-links")
+    keys = scratch.put("keys", keyed(nodes))
     size = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = common.checkpointed(keys.join(size, "key"))
+    shared = scratch.put("shared", keys.join(size, "key"))
+    scratch.drop("keys")
     few = shared.filter(F.col("n") <= PAIRS)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
@@ -144,9 +146,10 @@ def hub_links(many: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """doc_id, fp, component_id of each row."""
-    marks = common.checkpointed(fingerprints(docs, n))
+    scratch = common.Scratch(docs.sparkSession, "simhash")
+    marks = scratch.put("marks", fingerprints(docs, n))
     order = F.coalesce("doc_id", F.lit(common.LAST))
-    nodes = common.checkpointed(marks.groupBy("fp").agg(F.min(order).alias("least")))
+    nodes = scratch.put("nodes", marks.groupBy("fp").agg(F.min(order).alias("least")))
     star = stars(links(nodes))
     head = nodes.join(star.withColumnsRenamed({"b": "fp", "a": "head"}), "fp", "left").select("fp", F.coalesce("head", "fp").alias("head"), "least")
     least = head.groupBy("head").agg(F.min("least").alias("component_id"))
