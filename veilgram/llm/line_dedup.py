@@ -5,13 +5,21 @@ MIN_POINTS code points are never dropped. Documents come in batches of ascending
 grouped to their smallest doc_id, merge-anti-joined with the runs of all levels, and what is new becomes a run of
 level 0; FANOUT runs of a level are compacted into one sorted run of the next.
 
-Defined cases: null or empty text is one empty line; rows with the same doc_id are one document; a null doc_id
-comes after all others; repeated lines within the owning document stay; an empty table gives an empty result;
-further columns of the input are kept by dedup_lines(), and the helper columns it adds have reserved names."""
+Runs are tables bucketed and sorted by key, a file a bucket. A batch's keys are dealt out once, by the same hash, to be grouped;
+they then meet each run bucket by bucket, neither dealt out nor sorted again on the run's side, and are written as a
+run as they stand. Compaction merges runs bucket by bucket and deletes them. A line that very many documents share is one
+row in all this; the documents that lose it are found by a join that can split it over tasks.
+
+Defined cases: null or empty text is one empty line; rows with the same doc_id are one document; rows without doc_id come
+after all others, by hash of their text, and are one document if their texts are equal; repeated lines within the
+owning document stay; an empty table gives an empty result; further columns of the input, of any name, are kept by
+dedup_lines(), but for n_lines and n_dropped."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -37,36 +45,66 @@ def line_key(line: bytes, least: int = MIN_POINTS) -> tuple[int, int] | None:
     return signed(h >> 64), signed(h & ((1 << 64) - 1))
 
 
+#: Lets a scan of a bucketed table with one file a bucket keep the files' order.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class LineRuns:
     """The runs on disk, by level. State for adding further batches at any time."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = FANOUT):
         self.spark, self.root, self.fanout = spark, root or common.fresh_folder(spark, "line-runs"), fanout
+        self.buckets, self.name, self.written = common.partitions(spark), f"line_run_{uuid.uuid4().hex[:12]}", 0
         self.levels: list[list[str]] = []
-        self.written = 0
 
-    def _write(self, keys: DataFrame, level: int) -> None:
-        path = f"{self.root}/run-{self.written}"
-        self.written += 1
-        keys.select("h1", "h2").repartition(common.partitions(self.spark), "h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
+    def path(self, run: str) -> str:
+        return f"{self.root}/{run}"
+
+    def _write(self, keys: DataFrame) -> str:
+        run, self.written = f"{self.name}_{self.written}", self.written + 1
+        kept = self.spark.conf.get(ORDERED)
+        self.spark.conf.set(ORDERED, "true")
+        try:
+            keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.path(run)).saveAsTable(run)
+        finally:
+            self.spark.conf.set(ORDERED, kept)
+        return run
+
+    def _push(self, run: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fanout:  # runs hold different keys, so compaction is a merge
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self.spark.read.parquet(*full), level + 1)
+            self._push(self._write(reduce(self._merged, map(self.spark.table, full))), level + 1)
+            for old in full:
+                self.spark.sql(f"DROP TABLE {old}")
+                common.delete(self.spark, self.path(old))
+
+    @staticmethod
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Runs hold different keys, so that their full join is their merge."""
+        b = b.withColumnRenamed("doc_id", "other").hint("merge")
+        return a.join(b, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("doc_id", "other").alias("doc_id"))
+
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """h1, h2, doc_id of the keys of the batch that no run holds."""
+        first = batch.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+        for k, run in enumerate(r for level in self.levels for r in level):
+            x, y = first.alias("x"), self.spark.table(run).hint("merge").alias(f"y{k}")
+            # The runs' ids are below the batch's, always; as doc_id is a condition, the keys are grouped before they are joined.
+            same = [F.col(f"x.{c}") == F.col(f"y{k}.{c}") for c in ("h1", "h2")]
+            first = x.join(y, [*same, F.col("x.doc_id") > F.col(f"y{k}.doc_id")], "left_anti")
+        return first
 
     def add(self, batch: DataFrame, at: str) -> DataFrame:
         """batch: h1, h2, doc_id (not null), all ids above those of earlier batches. Returns its (h1, h2, doc_id) that
-        are to be dropped. Keys are grouped before the join, so a line that very many documents share is one row there."""
-        first = batch.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-        for run in (p for level in self.levels for p in level):
-            first = first.join(self.spark.read.parquet(run).hint("merge"), ["h1", "h2"], "left_anti")
-        first.write.parquet(f"{at}/owners")
-        owners = self.spark.read.parquet(f"{at}/owners")
-        self._write(owners, 0)
+        are to be dropped."""
+        run = self._write(self.fresh(batch))
+        owners = self.spark.read.schema("h1 long, h2 long, doc_id long").parquet(self.path(run))
         batch.join(owners, ["h1", "h2", "doc_id"], "left_anti").write.parquet(f"{at}/drops")
-        return self.spark.read.parquet(f"{at}/drops")
+        self._push(run, 0)
+        return self.spark.read.schema("h1 long, h2 long, doc_id long").parquet(f"{at}/drops")
 
 
 def key_rows(docs: DataFrame, least: int = MIN_POINTS) -> DataFrame:
@@ -89,7 +127,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, l
     """docs with text replaced by the kept lines, plus n_lines and n_dropped."""
     spark = docs.sparkSession
     root = common.fresh_folder(spark, "line-dedup")
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(common.LAST))
+    ident, own, drop = common.ident(docs), common.unused(docs, "_id"), common.unused(docs, "_drop")
     cuts = common.id_cuts(docs.select(ident.alias("doc_id")), "doc_id", batches)
     keys = key_rows(docs.select(ident.alias("doc_id"), "text"), least)
     keys.withColumn("batch", common.range_number(F.col("doc_id"), cuts)).write.partitionBy("batch").parquet(f"{root}/keys")
@@ -101,20 +139,21 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, l
         found = runs.add(all_keys.filter(F.col("batch") == b).select("h1", "h2", "doc_id"), f"{root}/batch-{b}")
         drops = found if drops is None else drops.unionByName(found)
     # A document's keys are no more than its own lines.
-    per_doc = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_drop")).withColumnRenamed("doc_id", "_id")
-    joined = docs.withColumn("_id", ident).join(per_doc, "_id", "left").drop("_id")
+    common.delete(spark, f"{root}/keys")
+    per_doc = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias(drop)).withColumnRenamed("doc_id", own)
+    joined = docs.withColumn(own, ident).join(per_doc, own, "left").drop(own)
     where = {c: i for i, c in enumerate(joined.columns)}
     out_cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n_lines, n_dropped = [], [], []
-            dropped = b.column(where["_drop"])
-            for text, drop in zip(common.raw(b.column(where["text"])), dropped.to_pylist(), strict=True):
+            dropped = b.column(where[drop])
+            for text, found in zip(common.raw(b.column(where["text"])), dropped.to_pylist(), strict=True):
                 lines = text.split(b"\n")
                 n_lines.append(len(lines))
-                if drop:
-                    gone = {(x["h1"], x["h2"]) for x in drop}
+                if found:
+                    gone = {(x["h1"], x["h2"]) for x in found}
                     lines = [x for x in lines if line_key(x, least) not in gone]
                 texts.append(b"\n".join(lines))
                 n_dropped.append(n_lines[-1] - len(lines))
