@@ -5,20 +5,25 @@ multiple of PIECE), and paragraphs are cut into sections after a blank line or o
 SECTION; so an edit moves no cut but those beside it. Every node's digest covers its children's, the root's thus the
 exact text: roots test equality, and walking down differing branches locates edits.
 
-A fingerprint is the root in hex, a colon, and the leaf digests (3 bytes each, in order, base64). The likeness of
-two is 1 for equal roots, else twice the leaves in common (with repeats) over all leaves.
+A fingerprint is the tree: the root in hex, a colon, and the sections, split by |, of paragraphs, split by commas, of leaf
+digests (3 bytes each, base64). Two fingerprints are compared from the root down: equal roots are likeness 1 and the
+walk ends; else sections are matched in order (equal ones at both ends, then the longest run of others in the same
+order), and only what lies between matched ones is entered, first its paragraphs, then their leaves. Likeness is twice the
+matched nodes (paragraphs and leaves) over all of both, below 1 for unequal texts; paragraphs without a match are the edits.
 
-Defined cases: null text is empty, with no leaves; two empty texts are alike, an empty and another one are not; rows
-follow each other by (doc_id, text), null ids last; a single document is its own next one; an empty table gives no
-rows; one task holds two whole texts at a time."""
+Defined cases: null text is empty, with no nodes; two empty texts are alike, an empty and another one are not; rows
+follow each other by (doc_id, text), those without doc_id last, by hash of their text; a single document is its own next
+one; an empty table gives no rows; one task holds two whole texts at a time; other columns are not read."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from zlib import crc32
 
 import pyarrow as pa
@@ -41,11 +46,9 @@ class Tree:
     root: bytes
     sections: list[tuple[bytes, list[tuple[bytes, list[bytes]]]]]
 
-    def leaves(self) -> list[bytes]:
-        return [leaf[:3] for _, paragraphs in self.sections for _, leaves in paragraphs for leaf in leaves]
-
     def fingerprint(self) -> str:
-        return f"{self.root.hex()}:{base64.b64encode(b''.join(self.leaves())).decode()}"
+        marks = [",".join(base64.b64encode(b"".join(leaf[:3] for leaf in leaves)).decode() for _, leaves in s) for _, s in self.sections]
+        return f"{self.root.hex()}:{'|'.join(marks)}"
 
 
 def paragraph(line: bytes) -> tuple[bytes, list[bytes]]:
@@ -73,34 +76,79 @@ def tree(text: bytes) -> Tree:
     return Tree(digest(b"root", b"".join(d for d, _ in nodes)), nodes)
 
 
-def likeness(a: Tree, b: Tree) -> float:
-    if a.root == b.root:
-        return 1.0
-    x, y = a.leaves(), b.leaves()
-    both = sum((Counter(x) & Counter(y)).values())
-    return 2.0 * both / max(1, len(x) + len(y))
-
-
-def edits(a: Tree, b: Tree) -> tuple[list[int], list[int]]:
-    """Numbers of the paragraphs of each that lie under differing branches: equal sections are not entered."""
-
-    def rest(t: Tree, other: Tree) -> list[int]:
-        same = Counter(d for d, _ in other.sections)
-        pool = Counter(p for d, s in other.sections for p, _ in s)
-        out, n = [], 0
-        for d, s in t.sections:
-            if same[d]:
-                same[d] -= 1
+def in_order(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
+    """Places of equal elements in the same order: at both ends, and between them the longest such run, where the k-th
+    occurrence of an element matches the k-th of the other side."""
+    n, m, low = len(xs), len(ys), 0
+    while low < min(n, m) and xs[low] == ys[low]:
+        low += 1
+    high = 0
+    while high < min(n, m) - low and xs[n - 1 - high] == ys[m - 1 - high]:
+        high += 1
+    seen, where = Counter(), {}
+    for j in range(low, m - high):
+        where[ys[j], seen[ys[j]]] = j
+        seen[ys[j]] += 1
+    seen, tails, runs = Counter(), [], []  # runs: the last (i, j, run before) of the best run of each length
+    for i in range(low, n - high):
+        j = where.get((xs[i], seen[xs[i]]))
+        seen[xs[i]] += 1
+        if j is not None:
+            k = bisect_left(tails, j)
+            run = i, j, runs[k - 1] if k else None
+            if k == len(tails):
+                tails.append(j)
+                runs.append(run)
             else:
-                for k, (p, _) in enumerate(s):
-                    if pool[p]:
-                        pool[p] -= 1
-                    else:
-                        out.append(n + k)
-            n += len(s)
-        return out
-
-    return (rest(a, b), rest(b, a)) if a.root != b.root else ([], [])
+                tails[k], runs[k] = j, run
+    middle, run = [], runs[-1] if runs else None
+    while run:
+        middle.append(run[:2])
+        run = run[2]
+    return [(k, k) for k in range(low)] + middle[::-1] + [(n - k, m - k) for k in range(high, 0, -1)]
+
+
+def gaps(pairs: list[tuple[int, int]], n: int, m: int) -> Iterator[tuple[int, int, int, int]]:
+    """What lies between matched places: from and to on either side."""
+    i = j = 0
+    for x, y in [*pairs, (n, m)]:
+        if x > i or y > j:
+            yield i, x, j, y
+        i, j = x + 1, y + 1
+
+
+def size(section: str) -> int:
+    """Paragraphs and leaves."""
+    commas = section.count(",")
+    return commas + 1 + (len(section) - commas) // 4
+
+
+def walk(a: str, b: str) -> tuple[int, list[int], list[int]]:
+    """Nodes that match of two fingerprints' trees, and the numbers of the paragraphs of either that don't."""
+    xs, ys = (t.split("|") if t else [] for t in (a.partition(":")[2], b.partition(":")[2]))
+    at_x, at_y = ([0, *accumulate(s.count(",") + 1 for s in z)] for z in (xs, ys))
+    pairs = in_order(xs, ys)
+    shared, rest_x, rest_y = sum(size(xs[i]) for i, _ in pairs), [], []
+    for i0, i1, j0, j1 in gaps(pairs, len(xs), len(ys)):
+        ps, qs = ([p for s in z for p in s.split(",")] for z in (xs[i0:i1], ys[j0:j1]))
+        inner = in_order(ps, qs)
+        shared += sum(1 + len(ps[k]) // 4 for k, _ in inner)
+        for k0, k1, l0, l1 in gaps(inner, len(ps), len(qs)):
+            u, v = "".join(ps[k0:k1]), "".join(qs[l0:l1])
+            if u and v:
+                shared += len(in_order([u[k : k + 4] for k in range(0, len(u), 4)], [v[k : k + 4] for k in range(0, len(v), 4)]))
+            rest_x += range(at_x[i0] + k0, at_x[i0] + k1)
+            rest_y += range(at_y[j0] + l0, at_y[j0] + l1)
+    return shared, rest_x, rest_y
+
+
+def compare(a: str, b: str) -> tuple[float, list[int], list[int]]:
+    """Likeness of two fingerprints, and the numbers of the paragraphs of either under differing branches."""
+    if a[:32] == b[:32]:
+        return 1.0, [], []
+    nodes = sum(sum(map(size, t[33:].split("|"))) if len(t) > 33 else 0 for t in (a, b))
+    shared, rest_a, rest_b = walk(a, b)
+    return 2.0 * shared / nodes, rest_a, rest_b
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -119,8 +167,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Rows (part, kind, doc_id, text) such that within a part each document of kind 0 is followed by its next one.
     Texts are shuffled once, to ranges of doc_id; the first document of each range (one a range, found by ids) is
     repeated at the end of the range before as kind 1, that of the first range at the very end."""
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(common.LAST))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("_order"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.ident(docs).alias("_order"), F.coalesce("text", F.lit("")).alias("text"))
     n = common.partitions(docs.sparkSession)
     cuts = common.id_cuts(rows.select("_order"), "_order", 4 * n)
     part = common.range_number(F.col("_order"), cuts)
@@ -139,29 +186,31 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited, near_next of each document."""
+    """doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited, near_next, edited_paragraphs (of the
+    edited text, under differing branches) of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # part, doc_id, text, tree of the document whose next one is to come
+        held = None  # part, doc_id, text, fingerprint of the document whose next one is to come
         for b in batches:
             out = []
             for part, kind, ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                own = tree(text.encode())
+                own = tree(text.encode()).fingerprint()
                 if held and held[0] == part:
                     _, i, t, mark = held
                     half = len(t) // 2
                     edited = t[: len(t) - half] + text[:half]
-                    new = tree(edited.encode())
-                    out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), mark.fingerprint(), new.fingerprint(), likeness(mark, new), likeness(mark, own)))
+                    new = tree(edited.encode()).fingerprint()
+                    alike, _, rest = compare(mark, new)
+                    out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), mark, new, alike, compare(mark, own)[0], len(rest)))
                 held = (part, ident, text, own) if kind == 0 else None
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+            cols = list(zip(*out, strict=True)) or [[]] * 8
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], NAMES)
 
-    return common.in_arrow(with_next(docs), work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return common.in_arrow(with_next(docs), work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_paragraphs long")
 
 
-NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_paragraphs"]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
