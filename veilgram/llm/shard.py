@@ -1,6 +1,6 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers.
 
-Rows are numbered 0..n-1 in order of (doc_id, text hash); number i goes to place p(i), a keyed permutation of
+Rows are numbered 0..n-1 in order of (doc_id, hash of all columns); number i goes to place p(i), a keyed permutation of
 0..n-1, and place p is slot p div shards of shard p mod shards. Shard and slot can thus be computed from the
 number, the key and n alone, shard sizes differ by one row at most, and slots have no gaps: the law 'rows'.
 
@@ -8,14 +8,19 @@ The permutation works on pairs (x, y) with x < a, y < b and a * b >= n as tight
 keyed function of one half to the other, modulo its range. Results of n or above walk on along their cycle; less
 than a of the a * b values lie there, so a walk ends within a steps.
 
-Defined cases: null doc_id comes last; null text is of no bytes; equal rows are told apart by number only; empty tables
-give no rows; more shards than rows leave shards empty. DataFrame functions only."""
+Plan: one shuffle sorts the rows by range, a table keeps them with their place in their range, and the ranges' sizes (a
+row each) make these places numbers. Ranges are cut in (doc_id, hash), so rows of one doc_id or none don't meet in one.
+
+Defined cases: rows without doc_id come after all usual ids, in order of their text's hash; null text is of no bytes; equal
+rows are told apart by number only, so the outcome is the same for any order or partitioning of the input (columns of maps
+take no part in the hash); empty tables give no rows; more shards than rows leave shards empty; input columns of any
+name are kept, but for shard and slot. DataFrame functions only."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgram.llm import common
@@ -86,31 +91,31 @@ def _step(v: Column, n: int, seed: int) -> Column:
     return F.transform(F.transform(state, lambda s: s["y"] * a + s["x"]), lambda p: F.struct(p.alias("v"), (p < n).alias("done")))[0]
 
 
-def numbered(docs: DataFrame, column: str = "_number") -> tuple[DataFrame, int]:
-    """docs with global row numbers in order of (doc_id, hash of text), and the row count. Ranges of doc_id are
-    counted first (ids only); then one shuffle by range numbers the rows within each."""
+def numbered(docs: DataFrame, column: str, order: Column) -> tuple[DataFrame, int]:
+    """docs with global row numbers in order of (order, hash of all columns), and the row count."""
     spark = docs.sparkSession
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(common.LAST))
-    n_parts = 4 * common.partitions(spark)
-    cuts = common.id_cuts(docs.select(order.alias("doc_id")), "doc_id", n_parts)
-    part = common.range_number(order, cuts)
-    sizes = {r["_part"]: r["n"] for r in docs.select(part.alias("_part")).groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a range
-    starts, n = {}, 0
-    for p in sorted(sizes):
-        starts[p] = n
-        n += sizes[p]
-    start = F.element_at(F.array(*[F.lit(starts.get(p, 0)).cast("long") for p in range(len(cuts) + 1)]), F.col("_part") + 1)
-    w = Window.partitionBy("_part").orderBy("_order", "_tie")
-    rows = docs.withColumns({"_part": part, "_order": order, "_tie": F.xxhash64("text") if "text" in docs.columns else F.lit(0)})
-    rows = rows.withColumn(column, start + F.row_number().over(w) - 1)
-    return rows.drop("_part", "_order", "_tie"), n
-
-
-def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """docs with shard (int) and slot (long); columns of those names are replaced."""
-    rows, n = numbered(docs.drop("shard", "slot"))
-    at = rows.withColumn("_place", place(F.col("_number"), n, seed)).drop("_number")
-    return at.withColumns({"shard": (F.col("_place") % shards).cast("int"), "slot": F.floor(F.col("_place") / F.lit(shards)).cast("long")}).drop("_place")
+    first, tie, at = (common.unused(docs, c) for c in ("_order", "_tie", "_at"))
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumns({first: order, tie: F.xxhash64(*[F.col(f"`{c}`") for c in hashed])})
+    rows = rows.repartitionByRange(4 * common.partitions(spark), first, tie).sortWithinPartitions(first, tie)
+    table = common.Scratch(spark, "numbered").put("rows", rows.drop(first, tie).withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned(at, 33).cast("int")
+    sizes = {r["p"]: r["n"] for r in table.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a range
+    starts, n = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        starts.append(n)
+        n += sizes.get(p, 0)
+    number = F.get(common.longs(starts), part) + F.col(at).bitwiseAND((1 << 33) - 1) if starts else F.lit(0).cast("long")
+    return table.withColumn(column, number).drop(at), n
+
+
+def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, order: Column | None = None) -> DataFrame:
+    """docs with shard (int) and slot (long); columns of those names are replaced. order: a whole number, else the doc_id."""
+    docs = docs.drop("shard", "slot")
+    number, at = common.unused(docs, "_number"), common.unused(docs, "_place")
+    rows, n = numbered(docs, number, common.ident(docs) if order is None else order)
+    rows = rows.withColumn(at, place(F.col(number), n, seed)).drop(number)
+    return rows.withColumns({"shard": (F.col(at) % shards).cast("int"), "slot": F.floor(F.col(at) / F.lit(shards)).cast("long")}).drop(at)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,3 +124,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     out = assign_shards(slim)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sql(shards: int = SHARDS, seed: int = SEED) -> str:
+    """The same in SQL: the walk is a recursion, and CRC-32 a fold over the bytes with the table of its polynomial."""
+    mix = lambda z, f, g: f"(({z} % {PRIME} * {f} + {g}) % {PRIME}) * (({z} % {PRIME} * {f} + {g}) % {PRIME}) % {PRIME}"
+    step = "(SELECT i, n, a, b, v % a AS x, v // a AS y FROM walk WHERE v >= n OR NOT begun)"
+    for r, (f, g) in enumerate(round_keys(seed)):
+        new = f"(x + {mix('y', f, g)}) % a AS x" if r % 2 == 0 else f"(y + {mix('x', f, g)}) % b AS y"
+        step = f"(SELECT * REPLACE ({new}) FROM {step})"
+    bits = "list_reduce(list_prepend(CAST(c AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]), lambda z, _: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END)"
+    return f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+sides AS (SELECT *, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM (SELECT DISTINCT n FROM t)),
+walk AS (SELECT i, t.n, a, (t.n + a - 1) // a AS b, i AS v, false AS begun FROM t JOIN sides USING (n)
+  UNION ALL SELECT i, n, a, b, y * a + x AS v, true AS begun FROM {step}),
+crc AS MATERIALIZED (SELECT list({bits} ORDER BY c) AS table_of FROM (SELECT unnest(range(256)) AS c)),
+bytes AS (SELECT i, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bs FROM t)
+SELECT doc_id, strlen(text) + 16 AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda c, x: xor(c >> 8, table_of[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32,
+  'rows' AS law, CAST(v % {shards} AS INTEGER) AS shard, v // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM walk JOIN t USING (i) JOIN bytes USING (i) CROSS JOIN crc WHERE begun AND v < walk.n"""
+
+
+SQL = sql()
