@@ -64,12 +64,19 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
+#: Bytes from which a segment is copied alone, and bytes of shorter segments scattered at a time: indices take 32 bytes each.
+LONG, SCATTER = 1 << 16, 1 << 20
+
+
 def _scatter(out: np.ndarray, to: np.ndarray, lengths: np.ndarray, data: np.ndarray, begin: np.ndarray) -> None:
-    """Copies data[begin[i] : begin[i] + lengths[i]] to out[to[i] :] for all i at once."""
-    total = int(lengths.sum())
-    if total:
-        inside = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out[np.repeat(to, lengths) + inside] = data[np.repeat(begin, lengths) + inside]
+    """Copies data[begin[i] : begin[i] + lengths[i]] to out[to[i] :] for all i: short ones by index, many at once."""
+    for i in np.flatnonzero(lengths >= LONG).tolist():
+        out[to[i] : to[i] + lengths[i]] = data[begin[i] : begin[i] + lengths[i]]
+    short = np.flatnonzero((lengths > 0) & (lengths < LONG))
+    for some in np.split(short, np.flatnonzero(np.diff(np.cumsum(lengths[short]) // SCATTER)) + 1):
+        n = lengths[some]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to[some], n) + inside] = data[np.repeat(begin[some], n) + inside]
 
 
 def assemble(roles: pa.Array, texts: pa.Array, n_turns: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -98,11 +105,16 @@ def assemble(roles: pa.Array, texts: pa.Array, n_turns: np.ndarray) -> tuple[pa.
 OUT = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.list_(pa.int64())))])
 
 
+def _begins(ids: pa.Array) -> np.ndarray:
+    """Where conversations begin, of sorted ids; null is one like any other."""
+    key, null = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (null[1:] != null[:-1])]))
+
+
 def _flush(rows: pa.Table) -> pa.RecordBatch:
     ids = rows["conv_id"].combine_chunks()
-    keys = ids.fill_null(common.LAST).to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    n_turns = np.diff(np.concatenate([first, [len(keys)]]))
+    first = _begins(ids)
+    n_turns = np.diff(np.concatenate([first, [len(ids)]]))
     text, begin, end = assemble(rows["role"].combine_chunks(), rows["text"].combine_chunks(), n_turns)
     mask = pc.equal(rows["role"].combine_chunks(), "assistant").fill_null(False).to_numpy(zero_copy_only=False)
     which = np.repeat(np.arange(len(n_turns)), n_turns)[mask]
@@ -121,9 +133,8 @@ def format_chats(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = b.column(0).fill_null(common.LAST).to_numpy()
-            cut = int(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[-1])
-            if held and (cut or held[-1].column(0).fill_null(common.LAST)[-1].as_py() != keys[0]):
+            cut = int(_begins(b.column(0))[-1])
+            if held and (cut or held[-1].column(0)[-1].as_py() != b.column(0)[0].as_py()):
                 yield _flush(pa.Table.from_batches([*held, b.slice(0, cut)]))
                 held = []
             elif cut:
@@ -177,3 +188,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", FORGER), (-1, 1, "assistant", FORGER)], "conv_id long, turn long, role string, text string")
     return digests(format_chats(rows.unionByName(more)))
+
+
+def sql() -> str:
+    """Digests from the rows, and the formatted length by escaping with the same controls."""
+    safe = "x"
+    for a, tails in CONTROLS.items():
+        safe = f"""regexp_replace({safe}, '({re.escape(a)})(\\\\*(?:{"|".join(map(re.escape, tails))}))', '\\1\\\\\\2', 'g')"""
+    role, text = safe.replace("(x,", "(role,"), safe.replace("(x,", "(text,")
+    marks = len(HEAD) + len(MID) + len(END)
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '{FORGER}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({marks} + length({role}) + length({text})) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+SQL = sql()

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_shard": shard.query,
     "op10_chat_format": chat.query,
 }
-ORACLES = {"op1_lm_score": lm_score.SQL, "op2_line_dedup": line_dedup.SQL, "op8_mixing": mixing.SQL}
+ORACLES = {"op1_lm_score": lm_score.SQL, "op2_line_dedup": line_dedup.SQL, "op8_mixing": mixing.SQL, "op9_shard": shard.SQL, "op10_chat_format": chat.SQL}
