@@ -1,27 +1,39 @@
-"""Benchmark decontamination: pieces of an item that an edit can't all reach find the places, and an exact edit distance
-verifies them.
+"""Benchmark decontamination: the CGK random walk maps edit distance to Hamming distance; repeated bit sampling of its
+output finds candidate places, and an exact edit distance verifies them.
 
 Texts are sequences of words (A-Z lowered, ASCII punctuation as white space), each a 64-bit hash. A match of an item of L
-words is a part of a document at up to k = LIMIT * L word insertions, deletions and replacements. The item is cut into
-k + 1 pieces over its whole length; each edit touches one piece at most, so every match holds a piece unchanged, wherever
-its edits lie. The first q = L // (k + 1) words of each piece, QMAX at most, are looked up at every word of every document.
+words is a part of a document at up to k = LIMIT * L word insertions, deletions and replacements.
+
+The walk of a window reads the word under its pointer and, by a random bit of (repetition, step, word), moves on or reads it
+again; two sequences that differ by edits fall back into step, so their outputs agree at most steps. Windows begin
+at every word of every document and of every item, so they cover items whole wherever the edits lie. A repetition samples some
+steps of the walk (always the first and the last), and a document's window that agrees with an item's at all of them is a
+candidate for that item at that offset.
+
+Recall: k edits leave q = L // (k + 1) words in a row unchanged somewhere. A walk of 2q - 1 steps that stays within them finds
+the match whatever surrounds them; an item's window counts only if its walk stays in the item and its samples see q // 2 + 1
+different places of it at least, so that keys are selective. The chance of both is counted over all walks and samples, and
+repetitions are as many as bring the chance of missing the worst case, a match with one such run alone, to 1 - RECALL.
+Other runs, and walks that edits don't put out of step, only add to that.
 
 A hit gives the item's place to within k words. Hits of one item at about the same place are verified once, on a stretch
 that holds whatever match any of them belongs to: the smallest number of edits that turn the item into some part of the
-stretch, against the limit. So all matches are found, and each distance is the smallest in the document.
+stretch, against the limit. So each distance is the smallest in the document.
 
-Items are sent to tasks in portions of at most MAX_BYTES; more items mean further passes, not a larger broadcast.
+Items are sent to tasks in portions of at most MAX_BYTES, one pass and one set of written hits each; more items mean
+further passes, not a larger broadcast.
 
 Defined cases: null and wordless texts and items match nothing; equal (doc_id, item_id) pairs are one row, the best; a
 null doc_id is kept as such; empty tables give no rows; very long texts are searched whole; start_word is the first word of
-a part at the smallest distance."""
+a part at the smallest distance; clean() keeps columns of any name."""
 
 from __future__ import annotations
 
 import math
 import string
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +43,8 @@ from pyspark.sql import functions as F
 
 from veilgram.llm import common
 
-LIMIT, QMAX, SIEVE_BITS = 0.2, 8, 20
-MAX_BYTES = 8 << 20
+LIMIT, RECALL, QMAX, SIEVE_BITS, SEED = 0.2, 0.9999, 8, 20, 5
+MAX_BYTES = 2 << 20
 PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 U = np.uint64
 
@@ -42,48 +54,84 @@ def words(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
 
 
-def grams(tokens: np.ndarray, q: int) -> np.ndarray:
-    """The hash of the q words from each place on where there are q."""
-    n = max(0, len(tokens) - q + 1)
-    key = np.zeros(n, U)
-    for k in range(q):
-        key = (key ^ tokens[k : k + n]) * U(0x9E3779B97F4A7C15)
-        key ^= key >> U(29)
-    return key
+def run(n: int, limit: float) -> int:
+    """Words in a row that the edits within the limit leave unchanged somewhere in an item of n words."""
+    return min(QMAX, n // (int(limit * n) + 1))
+
+
+def samplings(q: int) -> list[tuple[int, ...]]:
+    """All choices of sampled steps: the first, the last and half of those between."""
+    inner = range(1, 2 * q - 2)
+    return [tuple(sorted({0, 2 * q - 2, *c})) for c in combinations(inner, (len(inner) + 1) // 2)]
+
+
+def repetitions(q: int) -> int:
+    good = n = 0
+    for bits in product((0, 1), repeat=2 * q - 2):
+        at = np.concatenate([[0], np.cumsum(bits)])
+        for steps in samplings(q):
+            good, n = good + (at[-1] < q and len(set(at[list(steps)])) > q // 2), n + 1
+    return 1 if good == n else math.ceil(math.log(1 - RECALL) / math.log(1 - good / n))
+
+
+class Walk:
+    """One repetition for items of runs of q words: its sampled steps, and a multiplier a step whose top bit moves on."""
 
+    def __init__(self, q: int, r: int):
+        choices = samplings(q)
+        self.steps = choices[xxhash.xxh3_64_intdigest(f"{SEED}|{q}|{r}") % len(choices)]
+        self.turns = np.array([xxhash.xxh3_64_intdigest(f"{SEED}|{q}|{r}|{i}") | 1 for i in range(2 * q - 2)], U)
 
-def pieces(n: int, limit: float) -> tuple[int, list[int]]:
-    """Words looked up of each piece, and the first words of the pieces, of an item of n words."""
-    k = int(limit * n) + 1
-    return min(QMAX, n // k), [j * n // k for j in range(k)]
+    def keys(self, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows at the first n tokens: key, last place read, different places sampled. tokens go on beyond n."""
+        at, key, last, seen = np.arange(n), np.zeros(n, U), np.full(n, -1), np.zeros(n, np.int8)
+        for step in range(self.steps[-1] + 1):
+            if step in self.steps:
+                key = (key ^ tokens[at]) * U(0x9E3779B97F4A7C15)
+                key ^= key >> U(29)
+                seen += at != last
+                last = at.copy()
+            if step < self.steps[-1]:
+                at += ((tokens * self.turns[step]) >> U(63)).astype(np.int8)[at]
+        return key, at, seen
 
 
 class Items:
-    """The items of one portion, ready to look pieces up in."""
+    """The items of one portion, ready to look windows up in. Tables are built where they are used."""
 
     def __init__(self, ids: list[int], texts: list[bytes], limit: float = LIMIT):
         both = [(i, w) for i, t in zip(ids, texts, strict=True) if len(w := words(t))]
         self.ids, self.words, self.limit = [i for i, _ in both], [w for _, w in both], limit
         self.size = np.array([len(w) for w in self.words], np.int64)
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for i, w in enumerate(self.words):
-            q, at = pieces(len(w), limit)
-            key = grams(w, q)
-            by.setdefault(q, []).extend((int(key[o]), i, o) for o in at)
-        self.tables = []
-        for q, rows in sorted(by.items()):
-            key, item, at = np.array([r[0] for r in rows], U), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            order = np.argsort(key, kind="stable")
-            sieve = np.zeros(1 << SIEVE_BITS, bool)
-            sieve[key >> U(64 - SIEVE_BITS)] = True
-            self.tables.append((q, sieve, key[order], item[order], at[order]))
+        self.run = np.array([run(n, limit) for n in self.size.tolist()], np.int64)
+        self.repeat = {q: repetitions(q) for q in np.unique(self.run).tolist()}
+
+    @cached_property
+    def tables(self) -> list[tuple[Walk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        out = []
+        for q, repeat in self.repeat.items():
+            which = np.flatnonzero(self.run == q)
+            size = self.size[which]
+            ends = np.cumsum(size)
+            flat = np.concatenate([*[self.words[i] for i in which.tolist()], np.zeros(2 * q, U)])
+            item, offset = np.repeat(which, size), np.arange(ends[-1]) - np.repeat(ends - size, size)
+            for r in range(repeat):
+                walk = Walk(q, r)
+                key, at, seen = walk.keys(flat, int(ends[-1]))
+                good = np.flatnonzero((at < np.repeat(ends, size)) & (seen > q // 2))
+                good = good[np.argsort(key[good], kind="stable")]
+                sieve = np.zeros(1 << SIEVE_BITS, bool)
+                sieve[key[good] >> U(64 - SIEVE_BITS)] = True
+                out.append((walk, sieve, key[good], item[good].astype(np.int32), offset[good].astype(np.int32)))
+        return out
 
     def candidates(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, block) without repeats: the item may begin about the block of k + 1 words, counted from the
         document's first. ends: of each document."""
         got = [np.zeros((3, 0), np.int64)]
-        for q, sieve, keys, items, offsets in self.tables:
-            key = grams(tokens, q)
+        padded = np.concatenate([tokens, np.zeros(2 * QMAX, U)])
+        for walk, sieve, keys, items, offsets in self.tables:
+            key, _, _ = walk.keys(padded, len(tokens))
             at = np.flatnonzero(sieve[key >> U(64 - SIEVE_BITS)])
             lo, hi = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
             k = hi - lo
@@ -91,7 +139,7 @@ class Items:
             row = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
             doc = np.searchsorted(ends, at[rep], "right")
             begin = at[rep] - np.concatenate([[0], ends])[doc] - offsets[row]
-            item = items[row]
+            item = items[row].astype(np.int64)
             got.append(np.unique(np.stack([doc, item, begin // (self.edits(item) + 1)]), axis=1))
         return tuple(np.unique(np.concatenate(got, axis=1), axis=1))
 
@@ -178,16 +226,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, limit: float = LIMIT) -> DataFra
 
         return common.in_arrow(slim, work, schema)
 
-    found = reduce(DataFrame.unionByName, map(searched, portions(benchmark, limit=limit)))
+    spark = docs.sparkSession
+    at = common.fresh_folder(spark, "decontaminate")
+    for items in portions(benchmark, limit=limit):
+        searched(items).write.mode("append").parquet(at)
+    found = spark.read.schema(schema).parquet(at)
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start_word", "n_words")).alias("m"))
     return best.select("doc_id", "item_id", "m.distance", "m.n_words", "m.start_word", (F.lit(1.0) - F.col("m.distance") / F.col("m.n_words")).alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; each row without doc_id is judged on its own text."""
-    own = common.own_ids(docs, "_own")
-    bad = hits(own.select(F.col("_own").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_own")).distinct()
-    return own.join(bad, "_own", "left_anti").select(*docs.columns)
+    own = common.unused(docs, "_own")
+    bad = hits(docs.select(common.ident(docs).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(own)).distinct()
+    return docs.withColumn(own, common.ident(docs)).join(bad, own, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
