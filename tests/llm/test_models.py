@@ -160,6 +160,36 @@ def test_decontamination_recall_of_edited(share):
     assert len(want) > 30 and {x: got.get(x) for x in want} == want
 
 
+def test_decontamination_walks_meet_their_recall():
+    """Matches whose only unchanged words are one run of q: the worst case of the windows, by the repetitions alone."""
+    rng, missed, n = random.Random(21), 0, 0
+    fresh = iter(range(1000, 10**9))
+    for length in (12, 30, 60):
+        k = int(decontaminate.LIMIT * length)
+        for _ in range(100):
+            item = [f"w{next(fresh)}" for _ in range(length)]
+            items = decontaminate.Items([0], [" ".join(item).encode()])
+            q = decontaminate.run(length, decontaminate.LIMIT)
+            at = sorted(rng.sample(range(length), k))
+            text = [f"x{next(fresh)}" if i in at else w for i, w in enumerate(item)]
+            found = decontaminate.matches(items, [decontaminate.words(" ".join(["a"] * 9 + text + ["b"] * 9).encode())])
+            missed, n = missed + (not found or found[0][2] != k), n + 1
+            p = rng.randrange(length - q + 1)  # and the candidates of one run in fresh words
+            alone = [f"y{next(fresh)}" for _ in range(p)] + item[p : p + q] + [f"z{next(fresh)}" for _ in range(length - p - q)]
+            got = items.candidates(decontaminate.words(" ".join(alone).encode()), np.array([length]))
+            missed, n = missed + (not len(got[0])), n + 1
+    assert missed <= 1, (missed, n)
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "a b c d e", "x", "y"), (2, "q r s t u", "x", "y")], "doc_id long, text string, _own string, _bad string")
+    bench = spark.createDataFrame([(5, "a b c d e")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.clean(frame, bench).collect()] == [(2, "q r s t u", "x", "y")]
+    long_text = "filler " * 400000 + "a b c d e" + " more" * 100000
+    frame = spark.createDataFrame([(1, long_text)], "doc_id long, text string")
+    assert [(r.item_id, r.start_word) for r in decontaminate.hits(frame, bench).collect()] == [(5, 400000)]
+
+
 def test_decontamination_first_word():
     rng = np.random.default_rng(2)
     item = [f"w{w}" for w in rng.integers(0, 900, 30)]
@@ -234,20 +264,39 @@ def test_html_pages_of_the_table(spark):
 
 def test_mixing_meets_its_margins(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = mixing.marked(docs)
-    cell = mixing.raked(mixing.cells(rows)).toPandas()
-    given = mixing.cells(rows).toPandas()
+    keys = mixing.Keys(docs)
+    given = keys.cells(keys.marked(docs))
+    rows = mixing.raked(given)
+    cell, given = rows.toPandas(), given.toPandas()
+    given["t"] = given.tokens**mixing.TEMPERATURE
     for m in mixing.MARGINS:
-        want = given.groupby(m).tokens.sum() ** mixing.TEMPERATURE
-        assert np.allclose(cell.groupby(m).w.sum(), want / want.sum(), atol=1e-6 if m == "topic" else 0.02)
+        want = given.groupby(m).t.sum()
+        assert np.allclose(cell.groupby(m).w.sum(), want / want.sum(), atol=1e-8)
+    assert mixing.margin_error(rows) <= mixing.TOLERANCE
     target = spark.createDataFrame([("en", 1.0), ("fr", 1.0), ("xx", 5.0)], "key string, share double")
     assert {r.lang for r in mixing.mixed(docs, {"lang": target}).select("lang").distinct().collect()} == {"en", "fr"}
 
 
-def test_mixing_odd_rows(odd):
+def test_mixing_by_shuffles_and_by_a_given_topic(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted((r.doc_id, r.topic, round(r.prob, 9)) for r in mixing.mixed(docs).collect())
+    monkeypatch.setattr(mixing, "CELLS", 1)
+    assert sorted((r.doc_id, r.topic, round(r.prob, 9)) for r in mixing.mixed(docs).collect()) == want
+    marked = docs.withColumn("label", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("t"), F.col("doc_id") % 3)))
+    got = mixing.mixed(marked, topic="label")
+    assert {r.topic for r in got.collect()} == {"(null)", "t1", "t2"} and "label" in got.columns
+
+
+def test_mixing_odd_rows(spark, odd):
     out = mixing.mixed(odd)
     assert out.columns.count("topic") == 1 and out.count() <= 7 and mixing.mixed(odd.limit(0)).count() == 0
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
+    clash = odd.withColumns({c: F.lit("mine") for c in ("_source", "_lang", "_topic", "_lot", "_most", "_words", "_hits")})
+    got = mixing.mixed(clash)
+    assert got.columns[: len(clash.columns) - 2] == [c for c in clash.columns if c not in ("topic", "prob")]
+    assert {tuple(r) for r in got.select("_source", "_lang", "_topic", "_lot", "_most", "_words", "_hits").collect()} <= {("mine",) * 7}
+    unnamed = spark.createDataFrame([(None, f"text {i} of many", "en", "s") for i in range(400)] + [(i, "word " * 40, "en", "t") for i in range(100)], "doc_id long, text string, lang string, source string")
+    assert 0 < mixing.mixed(unnamed).filter("doc_id IS NULL AND text LIKE '%many'").count() <= 400
 
 
 def test_shards(spark, odd):
@@ -264,6 +313,19 @@ def test_shards(spark, odd):
     assert a.equals(b) and a.groupby("shard").size().max() - a.groupby("shard").size().min() <= 1
 
 
+def test_shards_of_repeated_ids(spark):
+    """The same rows in another order and number of partitions get the same shards and slots; names may clash."""
+    rows = [(i // 4 if i % 3 else None, f"t{i}", "a", "b") for i in range(400)]
+    seen = []
+    for seed, parts in ((1, 1), (2, 7)):
+        random.Random(seed).shuffle(rows)
+        frame = spark.createDataFrame(rows, "doc_id long, text string, _number string, _place string").repartition(parts)
+        out = shard.assign_shards(frame)
+        assert out.columns == ["doc_id", "text", "_number", "_place", "shard", "slot"]
+        seen.append(sorted((r.doc_id or -1, r.text, r._number, r.shard, r.slot) for r in out.collect()))
+    assert seen[0] == seen[1] and len({x[3:] for x in seen[0]}) == 400
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -48,32 +48,42 @@ def words(t):
     return out
 
 
-def test_lm_score(docs, empty):
+@pytest.mark.parametrize("leave_out", [True, False])
+def test_lm_score(docs, empty, leave_out):
     texts = {i: words(t) for i, t, *_ in odd_rows()}
-    n = [Counter(), Counter(), Counter()]
-    for w in texts.values():
-        for k in range(3):
-            n[k].update(tuple(w[i - k : i + 1]) for i in range(k, len(w)))
+    counted = lambda w, k: Counter(tuple(w[i - k : i + 1]) for i in range(k, len(w)))
+    n = [sum((counted(w, k) for w in texts.values()), Counter()) for k in range(3)]
     total, mic = sum(n[0].values()), lambda c: round(math.log(c) * 1e6)
     want = {}
     for i, w in texts.items():
+        own = [counted(w, k) if leave_out else Counter() for k in range(3)]
+        f = lambda k, g: n[k][g] - own[k][g]  # noqa: E731, B023
         s = uni = 0
         for j in range(len(w)):
             for k in range(min(j, 2), -1, -1):
                 g = tuple(w[j - k : j + 1])
                 if k == 0:
-                    s, uni = s + mic(n[0][g]) - mic(total), uni + 1
-                elif n[k][g] >= 2:
-                    s += mic(n[k][g]) - mic(n[k - 1][g[:-1]])
+                    s, uni = s + mic(max(f(0, g), 1)) - mic(max(total - len(w) * leave_out, 1)), uni + 1
+                elif f(k, g):
+                    s += mic(f(k, g)) - mic(f(k - 1, g[:-1]))
                     break
                 else:
                     s += mic(0.4)
         want[i] = (len(w), uni, s)
     for chunk in (1, 1 << 20):
-        got = {r.doc_id: (r.n_words, r.n_unigram, r.score_micro) for r in lm_score.scores(docs, chunk=chunk).collect()}
+        got = {r.doc_id: (r.n_words, r.n_unigram, r.score_micro) for r in lm_score.scores(docs, leave_out=leave_out, chunk=chunk).collect()}
         assert got == want
     assert lm_score.scores(empty).count() == 0
     assert lm_score.scores(docs.filter("doc_id = 40")).first().mean_log is None
+    alone = lm_score.scores(docs.filter("doc_id = 0")).first()
+    assert alone.n_unigram == alone.n_words and alone.score_micro == sum(mic(0.4) * min(j, 2) for j in range(alone.n_words))
+
+
+def test_lm_score_fails_if_the_input_changes():
+    size, by_order, place = lm_score.grams([b"a b c d"])
+    n = len(lm_score.listed(by_order, place))
+    with pytest.raises(RuntimeError, match="changed"):
+        lm_score.scored_chunk([b"a b c e"], lm_score.np.ones(n, int), int(lm_score.listed(by_order, place).sum()), 3, True)
 
 
 def line_brute(rows):
@@ -110,9 +120,24 @@ def test_line_runs_go_on(spark):
     assert len(runs.levels) > 2
 
 
+def test_line_runs_are_neither_dealt_out_nor_sorted_again(spark):
+    runs = line_dedup.LineRuns(spark, fanout=4)
+    for b in range(3):
+        batch = spark.range(1000).selectExpr("id * 7 + 1 AS h1", "id AS h2", f"{b} AS doc_id").repartition(5)
+        runs.add(batch, f"{runs.root}/b{b}")
+    spark.conf.set(line_dedup.ORDERED, "true")
+    plan = runs.fresh(batch)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(line_dedup.ORDERED, "false")
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Sort [") == 1 and plan.count("Exchange hash") == 1, plan
+    assert plan.rindex("HashAggregate") > plan.rindex("SortMergeJoin"), plan  # grouped first
+
+
 def test_line_null_id(spark):
     rows = spark.createDataFrame([(None, "a line to be kept once"), (1, "a line to be kept once"), (1, "a line to be kept once")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.n_dropped) for r in line_dedup.dedup_lines(rows).collect()) == [(-1, 1), (1, 0), (1, 0)]
+    rows = spark.createDataFrame([(None, "a line of many rows\nx", 1, 2), (None, "a line of many rows\ny", 1, 2)], "doc_id long, text string, _id int, _drop int")
+    out = line_dedup.dedup_lines(rows)
+    assert out.columns == ["doc_id", "text", "_id", "_drop", "n_lines", "n_dropped"] and sorted(r.n_dropped for r in out.collect()) == [0, 1]
 
 
 def simhash_brute(rows, bits=2):
@@ -264,12 +289,68 @@ def test_merkle(spark, docs, empty):
     assert {r.doc_id: r.fingerprint for r in merkle.fingerprints(docs).collect()} == {i: r.fingerprint for i, r in got.items()}
 
 
+def mark(text):
+    return merkle.tree(text.encode()).fingerprint()
+
+
 def test_merkle_edits():
     lines = [f"paragraph {i} of words that go on" for i in range(40)]
     other = list(lines)
     other[7] = "something else"
-    a, b = (merkle.tree("\n".join(x).encode()) for x in (lines, other))
-    assert merkle.edits(a, b) == ([7], [7]) and merkle.edits(a, a) == ([], []) and merkle.likeness(a, b) > 0.9
+    a, b = (mark("\n".join(x)) for x in (lines, other))
+    alike, left, right = merkle.compare(a, b)
+    assert (left, right) == ([7], [7]) and 0.9 < alike < 1 and merkle.compare(a, a) == (1.0, [], [])
+    swapped = [lines[1], lines[0], *lines[2:]]
+    assert 0.9 < merkle.compare(a, mark("\n".join(swapped)))[0] < 1
+    alike, left, right = merkle.compare(a, mark("\n".join(lines[:30] + ["a new line"] + lines[30:])))
+    assert (left, right) == ([], [30]) and alike < 1
+    assert merkle.compare(a, mark("\n".join(lines[5:])))[1:] == (list(range(5)), [])
+    assert merkle.compare(mark(""), mark("x"))[0] == 0 and merkle.compare(mark("\n"), mark("\n\n"))[0] < 1
+    assert merkle.compare(mark("a b c"), mark("a b\nc"))[0] < 1
+
+
+def longest(xs, ys):
+    """Length of the longest common subsequence by the full table, each element weighing its nodes."""
+    row = [0] * (len(ys) + 1)
+    for x in xs:
+        new = [0]
+        for j, y in enumerate(ys):
+            new.append(max(row[j] + (x == y), row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_merkle_likeness_against_brute_force():
+    """Where no leaf occurs twice, matched leaves are no more than the longest common subsequence of all leaves, and as
+    many if one run of words was replaced; near_* never is 1 for unequal texts."""
+    rng = random.Random(3)
+    leaves = lambda m: [p[k : k + 4] for s in m[33:].split("|") for p in s.split(",") for k in range(0, len(p), 4)]
+    for _ in range(150):
+        words = [f"w{x}" + rng.choice(["", "", "", "", "\nx"]) for x in rng.sample(range(10**6), rng.randint(1, 200))]
+        a = " ".join(words)
+        p, q = sorted(rng.sample(range(len(words) + 1), 2))
+        other = words[:p] + [f"n{x}" for x in rng.sample(range(10**6), rng.randint(0, 9))] + words[q:]
+        b = " ".join(other)
+        x, y = mark(a), mark(b)
+        shared, rest_x, rest_y = merkle.walk(x, y)
+        count = lambda m: sum(map(merkle.size, m[33:].split("|"))) if len(m) > 33 else 0
+        got, top = merkle.compare(x, y)[0], longest(leaves(x), leaves(y))
+        assert got == (1.0 if a == b else 2 * shared / (count(x) + count(y))) and (got == 1) == (a == b)
+        paragraphs = longest(*[[s for z in m[33:].split("|") for s in z.split(",")] for m in (x, y)])
+        assert shared <= top + paragraphs
+        rng.shuffle(other)
+        assert merkle.walk(x, mark(" ".join(other)))[0] <= longest(leaves(x), leaves(mark(" ".join(other)))) + len(a.split("\n"))
+        if len(set(leaves(x))) == len(leaves(x)) and q - p < 3 and a != b:
+            assert shared >= top
+
+
+def test_in_order_is_longest_without_repeats():
+    rng = random.Random(5)
+    for _ in range(300):
+        xs, ys = rng.sample(range(30), rng.randint(0, 20)), rng.sample(range(30), rng.randint(0, 20))
+        pairs = merkle.in_order(xs, ys)
+        assert all(xs[i] == ys[j] for i, j in pairs) and pairs == sorted(pairs) and len(pairs) == longest(xs, ys)
+        assert len({j for _, j in pairs}) == len(pairs) == len({i for i, _ in pairs})
 
 
 @given(st.text(st.sampled_from("<[|/\\sINST]>SY ok"), max_size=30))
