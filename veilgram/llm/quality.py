@@ -6,12 +6,13 @@ together cover the whole document. A document's features are the largest and the
 small hidden layer joins them into one probability.
 
 The network is fitted on the driver on at most MAX_ROWS labelled rows (half of each class, chosen by hash of doc_id), whole
-texts: that bound is the only sample in it. Rows whose crc32(doc_id as text) mod 3 is HELD_OUT are never fitted on.
+texts of MAX_BYTES together at most, none over LONGEST: these bounds are the only sample in it. Rows whose crc32(doc_id as text) mod 3 is HELD_OUT are never fitted on.
 Scoring is a narrow map over all rows with the fitted weights (some kB) in the closure.
 
 Defined cases: null text is empty; an empty text is one block of zero bytes and gets a score like any other; null
 labels are left out, repeated labels of a document count as their largest; with labels of one class or none every
-score is 0.5, predicted 1; an empty table gives no rows."""
+score is 0.5, predicted 1; an empty table gives no rows; very long texts are scored whole, PIECE blocks at a time; other
+columns, of any name, are kept by scored(), but for score and predicted."""
 
 from __future__ import annotations
 
@@ -20,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgram.llm import common
 
 WIDTH, SPAN, STRIDE, FILTERS, BLOCK, HIDDEN = 8, 8, 2, 32, 512, 16
 MAX_ROWS, EPOCHS, BATCH, RATE, SEED, HELD_OUT = 2000, 10, 32, 0.01, 17, 1
+MAX_BYTES, LONGEST = 64 << 20, 1 << 20
 #: Blocks convolved at a time.
 PIECE = 1024
 
@@ -62,9 +64,16 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, first
 
 
-def block_max(net: Net, data: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def last_blocks(first: np.ndarray, data: np.ndarray) -> np.ndarray:
+    return np.append(first[1:], (len(data) - SPAN) // BLOCK) - 1
+
+
+def block_max(net: Net, data: np.ndarray, where: bool = False, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Largest response of each filter among the windows that begin in each block, and the place of its window.
-    Windows of one phase are a reshaped view of the embedded bytes, so each phase is one matrix product."""
+    Windows of one phase are a reshaped view of the embedded bytes, so each phase is one matrix product. Windows
+    that go on beyond a text's last block are left out (of the text they have its padding only), so that no text's value
+    depends on the next one."""
+    last = np.zeros(0, np.int64) if last is None else last
     n = (len(data) - SPAN) // BLOCK
     best = np.empty((n, FILTERS), np.float32)
     place = np.empty((n, FILTERS), np.int64) if where else None
@@ -75,6 +84,8 @@ def block_max(net: Net, data: np.ndarray, where: bool = False) -> tuple[np.ndarr
         for phase in range(0, SPAN, STRIDE):
             view = x[phase * WIDTH : phase * WIDTH + (b - a) * BLOCK * WIDTH].reshape(-1, SPAN * WIDTH)
             y = (view @ net.filters).reshape(b - a, BLOCK // SPAN, FILTERS)
+            if phase:
+                y[last[(last >= a) & (last < b)] - a, -1] = -np.inf
             if where:
                 i = y.argmax(1)
                 m, i = np.take_along_axis(y, i[:, None], 1)[:, 0], i * SPAN + phase
@@ -111,14 +122,14 @@ def scores(net: Net | None, texts: list[bytes]) -> np.ndarray:
     if net is None or not texts:
         return np.full(len(texts), 0.5)
     data, first = laid_out(texts)
-    chunks, _ = _chunks(block_max(net, data)[0], first)
+    chunks, _ = _chunks(block_max(net, data, last=last_blocks(first, data))[0], first)
     return head(net, features(net, chunks, first)[0])[0].astype(np.float64)
 
 
 def gradients(net: Net, texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
     """Of the mean cross-entropy. A pooled value passes its gradient to the one window it came from."""
     data, first = laid_out(texts)
-    best, place = block_max(net, data, True)
+    best, place = block_max(net, data, True, last_blocks(first, data))
     chunks, second = _chunks(best, first)
     f, act, count = features(net, chunks, first)
     p, h = head(net, f)
@@ -169,12 +180,15 @@ def held_out(ident: Column) -> Column:
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 3 == HELD_OUT, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Net | None:
+def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Net | None:
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter(~held_out(F.col("doc_id")))
     known = known.withColumn("h", F.xxhash64("doc_id"))
     half = [known.filter(F.col("quality") == q).orderBy("h", "doc_id").limit(max_rows // 2) for q in (0, 1)]
-    sample = F.broadcast(half[0].unionByName(half[1]).select("doc_id", "quality"))  # max_rows rows at most
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
+    sample = F.broadcast(half[0].unionByName(half[1]).select("doc_id", "quality", "h"))  # max_rows rows at most
+    short = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    found = short.join(sample, "doc_id").groupBy("doc_id", "quality", "h").agg(F.max("text").alias("text"))
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("quality").orderBy("h", "doc_id"))  # of max_rows rows
+    rows = found.withColumn("bytes", so_far).filter(F.col("bytes") <= max_bytes // 2).orderBy("doc_id").collect()
     return fit([(r["text"] or "").encode() for r in rows], [r["quality"] for r in rows])
 
 
