@@ -14,13 +14,19 @@ pages on the driver and doesn't depend on the input.
 
 Defined cases: null or empty html has empty text; scripts, styles, comments, head, templates and other raw or hidden
 elements yield no segments; unclosed and stray tags are repaired by the stack; <br> is white space; equal rows are
-rows of their own; an empty table gives no rows; long pages are processed whole, in batches of BATCH_NODES nodes."""
+rows of their own; an empty table gives no rows; long pages are processed whole, in batches of BATCH_NODES nodes, and parsed in
+time in proportion to their length. Markup is read by the HTML standard's states: quotes count only where a value begins (a
+quoted value may hold >; one that is never closed ends at the next >), a comment without an end and raw text without an end
+tag go on to the end of the page, as does a tag without >; an embedded element (EMBEDDED) without an end tag is
+just left out; elements over MAX_DEPTH deep become siblings there. Columns of any name are kept, but for text."""
 
 from __future__ import annotations
 
 import html as entities
 import random
 import re
+import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,11 +38,12 @@ from pyspark.sql import functions as F
 
 from veilgram.llm import common
 
-PAGES, STEPS, RATE, DECAY, SEED, BATCH_NODES = 400, 150, 0.08, 1e-4, 11, 20000
+PAGES, STEPS, RATE, DECAY, SEED, BATCH_NODES, MAX_DEPTH = 400, 150, 0.08, 1e-4, 11, 20000, 512
 
 #: HTML elements by kind (fixed values).
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-RAW = set("script style textarea title iframe noembed noframes xmp noscript template svg math object canvas audio video button datalist".split())
+RAW = set("script style textarea title iframe noembed noframes xmp noscript".split())
+EMBEDDED = set("template svg math object canvas audio video button datalist".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that an opening tag of the given one ends if they are innermost (fixed values).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"td", "th", "tr", "thead"}}
@@ -57,11 +64,55 @@ HINTS = {
 WORD_HINT = {w: k for k, words in enumerate(HINTS.values()) for w in words}
 N_FEATURES = len(TAGS) + len(HINTS) + 14
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|)|["'])*+)>""")
+#: For what follows a tag whose values' quotes swallow every > up to the end of the page.
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTR = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
 SPLIT = re.compile(r"[^a-z]+")
 
 
+class Markup:
+    """The tags of a page from left to right, each part of it looked at a bounded number of times."""
+
+    def __init__(self, source: str):
+        self.source, self.tag, self.absent = source, TAG, set()
+        self.last = source.rfind(">")
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None]:
+        """Where markup begins and ends, from at on, and the tag if it is one; text may go on over what isn't."""
+        source, n = self.source, len(self.source)
+        while (at := source.find("<", at)) >= 0:
+            c = source[at + 1 : at + 2]
+            if c in ("!", "?") or c == "/" and not source[at + 2 : at + 3].isalpha():
+                if source.startswith("<!--", at):
+                    end = at + 4 if source.startswith(("<!-->", "<!--->"), at) else self._find("-->", at + 4) + 2
+                    return at, self._find(">", end) + 1, None
+                return at, self._find(">", at) + 1, None
+            if c.isascii() and c.isalpha() or c == "/":
+                m = self.tag.match(source, at) if at < self.last else None
+                if not m and at < self.last:
+                    self.tag = LOOSE
+                    m = LOOSE.match(source, at)
+                return (at, m.end(), m) if m else (at, n, None)
+            at += 1
+        return n, n, None
+
+    def _find(self, what: str, at: int) -> int:
+        """Where what is, else the end of the page; what was not found once isn't looked for again."""
+        found = -1 if what in self.absent else self.source.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found if found >= 0 else len(self.source)
+
+    def closed(self, tag: str, at: int) -> int:
+        """Behind the next end tag of this name, or -1."""
+        if tag not in self.absent:
+            if m := re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*+>", re.I).search(self.source, at):
+                return m.end()
+            self.absent.add(tag)
+        return -1
+
+
 @dataclass
 class Page:
     """parent: of each node, before it in order; text: of each segment by node. feats: rows of N_FEATURES."""
@@ -74,9 +125,13 @@ class Page:
 
 
 def _hints(attrs: str) -> tuple[list[int], bool, str]:
-    found, hidden, mark = [], False, ""
+    found, hidden, mark, seen = [], False, "", set()
     for name, value in ATTR.findall(attrs):
-        value, name = value.strip("\"'").lower(), name.lower()
+        name = name.lower()
+        if name in seen:  # the first one counts
+            continue
+        seen.add(name)
+        value = (value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value.strip("\"'")).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
         elif name in ("class", "id", "role"):
@@ -112,6 +167,7 @@ def parse(source: str, known: dict | None = None) -> Page:
     known = {} if known is None else known
     page = Page([-1], [0], [_element("html", "", 0)[0]], {}, [""])
     stack, held, at, link, in_link, skip = [("html", 0)], [], 0, 0, 0, 0
+    opened, markup, n = Counter(), Markup(source), len(source)
 
     def flush() -> None:
         nonlocal held, link
@@ -127,21 +183,18 @@ def parse(source: str, known: dict | None = None) -> Page:
 
     def pop() -> None:
         nonlocal skip
-        stack.pop()
+        opened[stack.pop()[0]] -= 1
         if skip and len(stack) < skip:
             skip = 0
 
-    n = len(source)
     while at < n:
-        m = TOKEN.search(source, at)
-        piece = source[at : m.start() if m else n]
+        begin, end, m = markup.next(at)
+        piece = source[at:begin]
         if piece:
             held.append(piece)
             link += len(piece) if in_link else 0
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = end
+        tag = m[2].lower() if m else ""
         if not tag:
             continue
         if m[1]:
@@ -149,21 +202,21 @@ def parse(source: str, known: dict | None = None) -> Page:
                 in_link = 0
             elif tag in BLOCKS:
                 flush()
-                if any(t == tag for t, _ in stack[1:]):
+                if opened[tag]:
                     while stack[-1][0] != tag:
                         pop()
                     pop()
                 in_link = 0
-            elif tag == "head" and skip and any(t == "head" for t, _ in stack):
+            elif tag == "head" and skip and opened["head"]:
                 flush()
                 while stack[-1][0] != "head":
                     pop()
                 pop()
             continue
-        if tag in RAW:
+        if tag in RAW or tag in EMBEDDED:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
-                at = end.end() if end else n
+                end = markup.closed(tag, at)
+                at = end if end >= 0 else n if tag in RAW else at
             held.append(" ")
         elif tag == "a":
             in_link = 1
@@ -182,15 +235,18 @@ def parse(source: str, known: dict | None = None) -> Page:
                 pop()
             if tag == "hr":
                 continue
-            what = tag, m[3], min(page.depth[stack[-1][1]] + 1, 10)
+            up = stack[-1][1]
+            up = up if page.depth[up] < MAX_DEPTH else page.parent[up]
+            what = tag, m[3], min(page.depth[up] + 1, 10)
             if what not in known:
                 known[what] = _element(*what)
             v, hidden, mark = known[what]
-            page.parent.append(stack[-1][1])
-            page.depth.append(page.depth[stack[-1][1]] + 1)
+            page.parent.append(up)
+            page.depth.append(page.depth[up] + 1)
             page.feats.append(v)
             page.marks.append(mark)
             stack.append((tag, len(page.parent) - 1))
+            opened[tag] += 1
             if (hidden or tag == "head") and not skip:
                 skip = len(stack)
     flush()
@@ -276,18 +332,17 @@ def make_page(rng: random.Random) -> str:
             out += (w.capitalize() if i == 0 or out.endswith((". ", "! ", "? ")) else w) + mark + ("" if end else " ")
             if rng.random() < 0.02:
                 out += rng.choice(["&amp; ", "<b>", "<i>x</i> ", "<br>", "&nbsp;"])
-        if style == 1:
-            out = out.replace(" ", " | ")
-        elif style == 2:
-            out = out.upper().replace(" ", "!! ")
-        elif style == 3:
-            out = "".join(c + (rng.choice(["### ", "*** ", "%%% ", "&amp;&amp; "]) if c == " " else "") for c in out)
-        elif style == 4:
+        if noise == "marks":
+            out = "".join(c + (rng.choice(marks) + " " if c == " " and rng.random() < rate else "") for c in out)
+        elif noise == "upper":
+            out = out.upper()
+        elif noise == "few words":
             out = " ".join(rng.choice(vocab[:4]) for _ in out.split(" "))
         return out
 
-    # Some pages are about odd text throughout: tables with bars, shouting, symbols, repeated words.
-    style = rng.choice([0] * 12 + [1, 2, 3, 4])
+    # Some pages are of odd text throughout: any punctuation between words, capitals, few words.
+    noise, rate = rng.choice([None] * 12 + ["marks", "marks", "upper", "few words"]), rng.uniform(0.1, 1)
+    marks = ["".join(rng.choices(string.punctuation.replace("<", "").replace("&", ""), k=rng.randint(1, 3))) for _ in range(rng.randint(1, 4))]
     title = lambda: text(2, 10).rstrip(".!?")
     el = lambda tag, y, body, mark="": f'<{tag}{f" {mark}" if mark else ""} {MARK}="{y}">{body}' + ("" if tag == "p" and rng.random() < 0.15 else f"</{tag}>")
     cls = lambda *names: f'{rng.choice(["class", "class", "id"])}="{rng.choice(names)}"'
