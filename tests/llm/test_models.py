@@ -82,6 +82,56 @@ def test_quality_covers_whole_text():
         quality.PIECE = pieces
 
 
+def naive_score(net, text):
+    """The definition, window by window: blocks of the padded text's windows that begin in them, chunks of two blocks."""
+    blocks = (len(text) + quality.SPAN + quality.BLOCK - 1) // quality.BLOCK
+    data = text + b"\0" * (blocks * quality.BLOCK - len(text))
+    best = []
+    for b in range(blocks):
+        at = [i for i in range(b * quality.BLOCK, (b + 1) * quality.BLOCK, quality.STRIDE) if i + quality.SPAN <= len(data)]
+        best.append(np.max([net.embed[list(data[i : i + quality.SPAN])].ravel() @ net.filters for i in at], 0))
+    chunks = [np.maximum(np.maximum(x, y) + net.bias, 0) for x, y in zip(best, [*best[1:], best[-1]], strict=True)]
+    h = np.maximum(np.concatenate([np.max(chunks, 0), np.mean(chunks, 0)]) @ net.hidden + net.hidden_bias, 0)
+    return 1 / (1 + np.exp(-float((h @ net.out + net.out_bias)[0])))
+
+
+def test_quality_scores_against_brute_force():
+    rng = np.random.default_rng(4)
+    net = quality.fresh(5)
+    for p in net.parts():
+        p += 0.05 * rng.standard_normal(p.shape).astype(np.float32)
+    texts = [b"", b"x", "äöü € text".encode(), *[rng.bytes(int(n)) for n in (503, 504, 505, 511, 512, 513, 1024, 3000)], b"of the and " * 200]
+    assert np.allclose(quality.scores(net, texts), [naive_score(net, t) for t in texts], atol=1e-5)
+    assert np.allclose([quality.scores(net, [t])[0] for t in texts], quality.scores(net, texts), atol=1e-6)
+
+
+def test_quality_query_against_brute_force(spark):
+    """All rows of the query, whole texts: each score is the definition's under the net that the query fits."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    net = quality.trained(docs, labels)
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = quality.query(spark, SF).collect()
+    assert len(rows) == len(text)
+    for r in rows[::4]:
+        assert abs(r.score - naive_score(net, text[r.doc_id])) < 1e-4 and r.predicted == (r.score >= 0.5)
+    from zlib import crc32
+
+    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+
+
+def test_quality_sample_is_bounded_by_bytes(spark):
+    rows = [(i, ("good words here. " if i % 2 else "xx!! ") * 30, i % 2) for i in range(60)] + [(100, "x" * (quality.LONGEST + 1), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    seen = []
+    real, quality.fit = quality.fit, lambda texts, labels: seen.append((sum(map(len, texts)), max(map(len, texts), default=0), len(texts)))
+    try:
+        quality.trained(docs.drop("quality"), docs.drop("text"), max_bytes=4000)
+        quality.trained(docs.drop("quality"), docs.drop("text"))
+    finally:
+        quality.fit = real
+    assert 0 < seen[0][0] <= 4000 and seen[1][1] <= quality.LONGEST and seen[1][2] >= 30
+
+
 def edit_brute(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
@@ -255,6 +305,41 @@ def test_html_text(spark):
     assert html_tree.main_text(rows.limit(0)).count() == 0
 
 
+def test_html_odd_markup():
+    """Read by the standard's states: quotes count at the start of a value only, and nothing after odd tags is lost."""
+    w, p = html_tree.model(), "A paragraph {} of words, long enough to be read as text, and more."
+    body = lambda *parts: f"<body><nav><a href=/>Home</a></nav><article><h1>Some title</h1>{''.join(parts)}</article><footer>&copy; 2020</footer>"
+    three = [p.format(k) for k in ("one", "two, it's odd", "three")]
+    want = "\n".join(["Some title", *three])
+    cases = [
+        body(f"<p don't>{three[0]}", f"<p>{three[1]}</p>", f'<p a"b>{three[2]}</p>'),
+        body(f"<p title='a > b' class=x>{three[0]}</p>", f'<p data="<p>">{three[1]}</p>', f"<P CLASS=\"a\"id='b'/>{three[2]}</P>"),
+        body(f"<p>{three[0]}</p><!-- <p>not this</p> --><!--->", f"<p>{three[1]}</p><?php x ?>", f"<p>{three[2]}</p></3>"),
+        body(f"<p>{three[0]}</p><svg>", f"<p>{three[1]}</p><button>", f"<p>{three[2]}</p>"),
+        body(f"<p>{three[0]}</p><script>if (a</b) '</p>'</script>", f"<p>{three[1]}</p><style>a>b</style x>", f"<p>{three[2]}</p>"),
+    ]
+    assert html_tree.extract(cases, w) == [want] * len(cases)
+    assert html_tree.extract([body(f"<p>{three[0].replace('paragraph', 'paragraph &lt; 3 < 4 <5')}</p>")], w)[0].endswith("A paragraph < 3 < 4 <5 one of words, long enough to be read as text, and more.")
+    assert html_tree.extract([body(f"<p>{three[0]}</p>") + '<p class="never closed ends at the next >' + three[1] + "</p>"], w)[0].startswith("Some title\n" + three[0])
+    assert html_tree._hints("title='class=ad' class=content class=ad") == (html_tree._hints("class=content")[0], False, " content")
+
+
+def test_html_long_pages_in_linear_time():
+    import time
+
+    w = html_tree.model()
+    for piece in ('<p class="x ', "<div>", "</div><p>x", "<p a='><p b=\">", "<button>x", "<svg><p>x", "<!-- ", "<!-", "</p>x<b ", "<p>" + "word " * 50 + "</p>"):
+        began = time.perf_counter()
+        html_tree.extract(["<body>" + piece * (5_000_000 // len(piece))], w)
+        assert time.perf_counter() - began < 60, piece
+
+
+def test_html_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "<p>x", "mine", 2)], "page_id long, html string, parent string, text int")
+    out = html_tree.main_text(rows)
+    assert out.columns == ["page_id", "html", "parent", "text"] and out.first().parent == "mine"
+
+
 def test_html_pages_of_the_table(spark):
     for r in html_tree.query(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*?)(</article>|<footer)", r.html, re.S)[1]
