@@ -34,6 +34,10 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
+#: Page sizes are looked at after each row: some rows are long, and a page is held (and compressed) as a whole.
+PARQUET = {"compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "100", "parquet.block.size": str(16 << 20)}
+
+
 class Scratch:
     """Tables of one run, as Parquet in the shared folder: lineage is cut there, and any executor can read them again. A
     table put under a name takes the place of the earlier one, whose files are deleted once the new one is written."""
@@ -43,7 +47,7 @@ class Scratch:
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path, self.n = f"{self.root}/{name}-{self.n}", self.n + 1
-        df.write.parquet(path)
+        df.write.options(**PARQUET).parquet(path)
         self.drop(name)
         self.at[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
