@@ -249,6 +249,20 @@ def test_near_dups_against_jaccard(spark):
     assert close > 20 and {r.doc_id for r in near_dups.deduplicated(frame).collect()} == set(want.values())
 
 
+def test_bitmaps_bound_what_is_shared():
+    rng = near_dups.np.random.default_rng(9)
+    sets = []
+    for size in (0, 1, 5, 400, 511, 512, 513, 3000, 9000):
+        base = rng.integers(0, 1 << 63, size).astype("uint64")
+        sets += [near_dups.np.unique(base), near_dups.np.unique(near_dups.np.concatenate([base[: size * 9 // 10], rng.integers(0, 1 << 63, size // 10).astype("uint64")]))]
+    pairs = [(x, y) for x in sets for y in sets]
+    n, m = (near_dups.np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    most = near_dups.most_shared(*[[near_dups.bitmap(p[k]) for p in pairs] for k in (0, 1)], n, m)
+    shared = near_dups.np.array([len(near_dups.np.intersect1d(x, y)) for x, y in pairs])
+    apart = (n == m) & (n > 300) & (shared == 0)
+    assert (most >= shared).all() and (most[apart] < 0.4 * n[apart]).all()
+
+
 def star_texts():
     """A centre of middle id; each copy is within 0.8 of it, by other words replaced, and not of each other."""
     rng = random.Random(6)
