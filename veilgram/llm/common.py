@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,26 +36,45 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
 
 
 #: Page sizes are looked at after each row: some rows are long, and a page is held (and compressed) as a whole.
-PARQUET = {"compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "100", "parquet.block.size": str(16 << 20)}
+PARQUET = {"compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "100", "parquet.block.size": str(16 << 20), "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
+#: Rows a file of a narrow table. Each file costs an executor about three processes (to set permissions) where Hadoop's native
+#: library is missing, and a count of memory that falls into the start of one takes the executor's for twice as much.
+FILE_ROWS = 1 << 20
 
 
 class Scratch:
-    """Tables of one run, as Parquet in the shared folder: lineage is cut there, and any executor can read them again. A
-    table put under a name takes the place of the earlier one, whose files are deleted once the new one is written."""
+    """Tables of one run. put() writes a narrow one as Parquet to the shared folder, in few files: lineage is cut there, and any
+    executor can read it again. hold() keeps a wide one on the executors' disks; what is lost with one is computed again from
+    its lineage. A table of a name takes the place of the earlier one, which is deleted once the new one is there."""
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.root, self.n, self.at = spark, fresh_folder(spark, what), 0, {}
+        self.spark, self.root, self.n, self.at, self.held = spark, fresh_folder(spark, what), 0, {}, {}
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
+    def put(self, name: str, df: DataFrame, files: int | None = None) -> DataFrame:
         path, self.n = f"{self.root}/{name}-{self.n}", self.n + 1
-        df.write.options(**PARQUET).parquet(path)
+        rows = df if files else df.persist(StorageLevel.DISK_ONLY)
+        rows.coalesce(files or 1 + rows.count() // FILE_ROWS).write.options(**PARQUET).parquet(path)
+        if not files:
+            rows.unpersist()
         self.drop(name)
         self.at[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def hold(self, name: str, df: DataFrame) -> DataFrame:
+        df = df.persist(StorageLevel.DISK_ONLY)
+        df.count()
+        self.drop(name)
+        self.held[name] = df
+        return df
+
     def drop(self, *names: str) -> None:
-        for path in filter(None, (self.at.pop(name, None) for name in names)):
-            delete(self.spark, path)
+        for name in names:
+            if path := self.at.pop(name, None):
+                delete(self.spark, path)
+            if held := self.held.pop(name, None):
+                held.unpersist()
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -117,13 +117,13 @@ def raked(cell: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     for m in MARGINS:
         rows = rows.join(shares(cell, m, (targets or {}).get(m)).withColumnRenamed("share", f"share_{m}"), m)
     few = cell.count() <= CELLS
-    rows = scratch.put("rows", rows.coalesce(1) if few else rows)
+    rows = scratch.put("rows", rows, 1 if few else None)
     for done in range(0, rounds, BLOCK):
         step, rest = "{rows}", "source, lang, topic, tokens, " + ", ".join(f"share_{m}" for m in MARGINS)
         for _ in range(min(BLOCK, rounds - done)):
             for m in MARGINS:
                 step = f"(SELECT {rest}, coalesce(w * share_{m} / nullif(sum(w) OVER (PARTITION BY {m}), 0), 0) AS w FROM {step})"
-        rows = scratch.put("rows", cell.sparkSession.sql(f"SELECT * FROM {step}", rows=rows.coalesce(1) if few else rows))
+        rows = scratch.put("rows", cell.sparkSession.sql(f"SELECT * FROM {step}", rows=rows.coalesce(1) if few else rows), 1 if few else None)
         if margin_error(rows.coalesce(1) if few else rows) <= tolerance:
             break
     scratch.drop("cells")

@@ -97,8 +97,9 @@ def numbered(docs: DataFrame, column: str, order: Column) -> tuple[DataFrame, in
     first, tie, at = (common.unused(docs, c) for c in ("_order", "_tie", "_at"))
     hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     rows = docs.withColumns({first: order, tie: F.xxhash64(*[F.col(f"`{c}`") for c in hashed])})
-    rows = rows.repartitionByRange(4 * common.partitions(spark), first, tie).sortWithinPartitions(first, tie)
-    table = common.Scratch(spark, "numbered").put("rows", rows.drop(first, tie).withColumn(at, F.monotonically_increasing_id()))
+    ranges = common.partitions(spark)
+    rows = rows.repartitionByRange(ranges, first, tie).sortWithinPartitions(first, tie)
+    table = common.Scratch(spark, "numbered").put("rows", rows.drop(first, tie).withColumn(at, F.monotonically_increasing_id()), files=1 << 20)  # as many as there are ranges
     part = F.shiftrightunsigned(at, 33).cast("int")
     sizes = {r["p"]: r["n"] for r in table.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a range
     starts, n = [], 0

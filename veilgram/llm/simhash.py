@@ -128,9 +128,9 @@ def keyed(nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame) -> DataFrame:
     """a, b: fingerprints at 2 or fewer differing bits that connect all such."""
     scratch = common.Scratch(nodes.sparkSession, "simhash-links")
-    keys = scratch.put("keys", keyed(nodes))
+    keys = scratch.hold("keys", keyed(nodes))
     size = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = scratch.put("shared", keys.join(size, "key"))
+    shared = scratch.hold("shared", keys.join(size, "key"))
     scratch.drop("keys")
     few = shared.filter(F.col("n") <= PAIRS)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
