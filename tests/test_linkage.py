@@ -43,6 +43,24 @@ def test_counter_noise(sample):
     assert rows(match.block_product(*link.sides, 128, ("ala", 0.0, 42))) == rows(link.clean)
 
 
+def test_base_once_and_in_passes(sample, monkeypatch):
+    """The base as one row a record, and probes in many passes, change nothing."""
+    link = Linkage(sample, LinkConfig(bf_len=128, flip_method="sch", flip_prob=0.1))
+    want = rows(match.block_product(*link.sides, 128, ("sch", 0.1, 42)))
+    assert rows(link.noisy) == want and rows(match.clean(*link.sides)) == rows(link.clean)
+    monkeypatch.setattr(match, "MAX_PROBE_BYTES", 128 * 4 * 10)
+    assert rows(match.block_product(*link.sides_once, 128, ("sch", 0.1, 42))) == want
+
+
+@pytest.mark.parametrize("noise", ["md5", "philox"])
+def test_diagnostics(sample, noise):
+    link = Linkage(sample, LinkConfig(bf_len=128, flip_method="ala", flip_prob=0.05), noise)
+    top = link.diagnostics(3, 2)
+    assert {"probe_bits", "cand_bits", "noisy_sim"} <= set(top.columns)
+    best = {(r.type, r.probe_id): r.best for r in link.noisy.collect()}
+    assert all(0 <= r.noisy_sim <= best[r.type, r.probe_id] for r in top.collect())
+
+
 def test_tally(sample):
     tally = Linkage(sample, LinkConfig(bf_len=64, flip_prob=0.0)).tally.persist()
     assert tally.count() == 12 * 2 * 4

@@ -16,8 +16,8 @@ def vocabulary(recs: DataFrame, bf_len: int, k: int, family: HashFamily | None =
 
 def bit_positions(recs: DataFrame, vocab: DataFrame) -> DataFrame:
     """rec_id, pos: sorted set positions of the OR over the record's q-grams."""
-    pairs = recs.select("rec_id", F.explode("qs").alias("q")).join(vocab, "q").select("rec_id", F.explode("pos").alias("p"))
-    return pairs.groupBy("rec_id").agg(F.array_sort(F.collect_set("p")).alias("pos"))
+    pairs = recs.select("rec_id", F.explode("qs").alias("q")).join(vocab, "q")  # a row a q-gram, with its positions
+    return pairs.groupBy("rec_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("pos"))
 
 
 def n_words(bf_len: int) -> int:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilgram.config import LinkConfig
 from veilgram.functions.hashing import unit
 
 
@@ -34,6 +37,30 @@ def harden(bfs: DataFrame, bf_len: int, method: str, prob: float, seed: int) ->
     return noised.withColumn("n1", F.size("pos"))
 
 
+def noisy_dice(pairs: DataFrame, cfg: LinkConfig, noise: str) -> DataFrame:
+    """pairs of a few probes (type, probe_id, cand_id, pp, cp: positions) with noisy_sim, under the noise of the linkage."""
+    if noise == "md5" or cfg.flip_prob == 0:
+        at = lambda side, pos, i: digest_noise(F.col(pos), noise_key(cfg.seed, F.col("type"), F.lit(side), F.col(i)), cfg.bf_len, cfg.flip_method, cfg.flip_prob) if cfg.flip_prob else F.col(pos)
+        rows = pairs.withColumns({"pp": at("p", "pp", "probe_id"), "cp": at("c", "cp", "cand_id")})
+        both = F.size("pp") + F.size("cp")
+        sim = F.when(both == 0, 0.0).otherwise(F.lit(2.0) * F.size(F.array_intersect("pp", "cp")) / F.when(both > 0, both))
+        return rows.withColumn("noisy_sim", sim).drop("pp", "cp")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x, y = (np.zeros((len(rows), cfg.bf_len), np.uint8) for _ in "pc")
+            for bits, column in ((x, "pp"), (y, "cp")):
+                for r, p in enumerate(rows[column]):
+                    bits[r, np.asarray(p, dtype=np.int64)] = 1
+            x = counter_noise(x, [f"{cfg.seed}|{t}|p|{i}" for t, i in zip(rows.type, rows.probe_id, strict=True)], cfg.flip_method, cfg.flip_prob)
+            y = counter_noise(y, [f"{cfg.seed}|{t}|c|{i}" for t, i in zip(rows.type, rows.cand_id, strict=True)], cfg.flip_method, cfg.flip_prob)
+            both = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
+            yield rows.drop(columns=["pp", "cp"]).assign(noisy_sim=2.0 * (x & y).sum(1, dtype=np.int64) / np.maximum(both, 1))
+
+    rest = pairs.drop("pp", "cp")
+    return pairs.select(*rest.columns, "pp", "cp").mapInPandas(work, ", ".join(f"`{c}` {t}" for c, t in rest.dtypes) + ", noisy_sim double")
+
+
 def counter_noise(bits: np.ndarray, keys: list[str], method: str, prob: float) -> np.ndarray:
     """0/1 rows after noise from a counter-based generator keyed by each row's string: the form for large data."""
     out = np.empty_like(bits)

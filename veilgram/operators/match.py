@@ -1,27 +1,37 @@
 """Best match of each probe among base and own subset, and the outcome.
 
-Probes: type, probe_id, pos, n1. Candidates: type, cand_id, pos, n1, for each subset type the base
-and the subset's own records. Results: type, probe_id, best, ties, hit, outcome."""
+Probes: type, probe_id, pos, n1. Candidates: type, cand_id, pos, n1: the subsets' own records, and the base either once under
+its own code (sides_once(), for clean() and block_product()) or once for each subset type (sides()).
+Results: type, probe_id, best, ties, hit, outcome."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgram.config import BASE_TYPE
 from veilgram.functions import similarity as sim
 from veilgram.operators.encode import n_words, packed
 from veilgram.operators.harden import counter_noise
+from veilgram.plans.lineage import cut
 
-#: Bytes of unpacked probe bits up to which the block product is planned.
+#: Bytes of unpacked probe bits that a pass over the candidates sends to every task; more probes mean more passes.
 MAX_PROBE_BYTES = 64 << 20
 
 
-def sides(typed: DataFrame, bfs: DataFrame, base_type: str = "b") -> tuple[DataFrame, DataFrame]:
-    """Probes and candidates from (type, rec_id) rows and encoded records."""
+def sides_once(typed: DataFrame, bfs: DataFrame, base_type: str = BASE_TYPE) -> tuple[DataFrame, DataFrame]:
+    """Probes and candidates from (type, rec_id) rows and encoded records; each base record is one row."""
+    full = typed.join(bfs, "rec_id")
+    return full.filter(F.col("type") != base_type).withColumnRenamed("rec_id", "probe_id"), full.withColumnRenamed("rec_id", "cand_id")
+
+
+def sides(typed: DataFrame, bfs: DataFrame, base_type: str = BASE_TYPE) -> tuple[DataFrame, DataFrame]:
+    """The same with the base once for each subset type, for noise that is computed row by row."""
     full = typed.join(bfs, "rec_id")
     own = full.filter(F.col("type") != base_type)
     spark = typed.sparkSession
@@ -40,8 +50,10 @@ def outcome(ties: Column, hit: Column) -> Column:
 def clean(probes: DataFrame, cands: DataFrame) -> DataFrame:
     """Without noise a probe's own filter is a candidate, so the best Dice is 1 and the tied records are
     those with equal filters: an equality join on pre-counted filters instead of a product."""
-    count = cands.groupBy("type", "pos").agg(F.count("*").alias("ties"))
-    out = probes.select("type", "probe_id", "pos").join(count, ["type", "pos"])
+    own = cands.groupBy("type", "pos").agg(F.count("*").alias("own"))
+    base = cands.filter(F.col("type") == BASE_TYPE).groupBy("pos").agg(F.count("*").alias("base"))
+    out = probes.select("type", "probe_id", "pos").join(own, ["type", "pos"]).join(base, "pos", "left")
+    out = out.withColumn("ties", F.col("own") + F.coalesce("base", F.lit(0)))
     return out.select("type", "probe_id", F.lit(1.0).alias("best"), "ties", F.lit(1).alias("hit")).withColumn("outcome", outcome(F.col("ties"), F.col("hit")))
 
 
@@ -63,14 +75,6 @@ def pairs(probes: DataFrame, cands: DataFrame, bf_len: int) -> DataFrame:
     return c.join(p, "type").select("type", "probe_id", "cand_id", s.alias("sim"))
 
 
-def noisy(probes: DataFrame, cands: DataFrame, bf_len: int) -> DataFrame:
-    """Plans the block product if the probes' bits are few enough to send to every task, else the word counts."""
-    n = probes.count()
-    if n * bf_len * 4 <= MAX_PROBE_BYTES:
-        return block_product(probes, cands, bf_len)
-    return _best(pairs(probes, cands, bf_len))
-
-
 def unpack(pos: pd.Series, bf_len: int) -> np.ndarray:
     bits = np.zeros((len(pos), bf_len), dtype=np.uint8)
     for r, p in enumerate(pos):
@@ -79,12 +83,21 @@ def unpack(pos: pd.Series, bf_len: int) -> np.ndarray:
 
 
 def block_product(probes: DataFrame, cands: DataFrame, bf_len: int, noise: tuple[str, float, int] | None = None) -> DataFrame:
-    """0/1 matrix products of candidate batches with the probes of their type, which every task gets.
-    Only a partial best for each probe and task is shuffled. noise (method, probability, seed): candidates are
-    noised in the task by the counter-based generator, probes once beforehand."""
-    local = probes.select("type", "probe_id", "pos").toPandas()
-    if len(local) * bf_len * 4 > MAX_PROBE_BYTES:
-        raise ValueError("too many probes for the block product")
+    """0/1 matrix products of candidate batches with the probes of their type (base records: of every type), which every
+    task gets, in passes of MAX_PROBE_BYTES of probes. Only a partial best for each probe and task is shuffled. noise
+    (method, probability, seed): candidates are noised in the task by the counter-based generator, probes beforehand."""
+    held = probes.count() * bf_len * 4
+    passes = -(-3 * held // (2 * MAX_PROBE_BYTES)) if held > MAX_PROBE_BYTES else 1  # dealt by hash, so with room
+    cands = cands.select("type", "cand_id", "pos")
+    if passes == 1:
+        return _merged(_pass(probes, cands, bf_len, noise))
+    part = F.pmod(F.xxhash64("type", "probe_id"), F.lit(passes))
+    parts = [cut(_pass(probes.filter(part == k), cands, bf_len, noise)) for k in range(passes)]  # a row a probe and task
+    return _merged(reduce(DataFrame.unionByName, parts))
+
+
+def _pass(probes: DataFrame, cands: DataFrame, bf_len: int, noise: tuple[str, float, int] | None) -> DataFrame:
+    local = probes.select("type", "probe_id", "pos").toPandas()  # MAX_PROBE_BYTES
     by_type = {}
     for code, rows in local.groupby("type"):
         bits = unpack(rows.pos, bf_len)
@@ -97,7 +110,8 @@ def block_product(probes: DataFrame, cands: DataFrame, bf_len: int, noise: tuple
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[str, list[np.ndarray]] = {}
         for batch in batches:
-            for code, rows in batch.groupby("type"):
+            groups = [(code, rows) for key, rows in batch.groupby("type") for code in (sent.value if key == BASE_TYPE else [key] if key in sent.value else [])]
+            for code, rows in groups:
                 ids, mat, n1 = sent.value[code]
                 top, ties, hit = best.setdefault(code, [np.full(len(ids), -1.0), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)])
                 bits = unpack(rows.pos, bf_len)
@@ -116,7 +130,10 @@ def block_product(probes: DataFrame, cands: DataFrame, bf_len: int, noise: tuple
         for code, (top, ties, hit) in best.items():
             yield pd.DataFrame({"type": code, "probe_id": sent.value[code][0], "best": top, "ties": ties, "hit": hit})
 
-    part = cands.select("type", "cand_id", "pos").mapInPandas(work, f"type string, probe_id {id_type}, best double, ties long, hit long")
+    return cands.mapInPandas(work, f"type string, probe_id {id_type}, best double, ties long, hit long")
+
+
+def _merged(part: DataFrame) -> DataFrame:
     per = part.groupBy("type", "probe_id", "best").agg(F.sum("ties").alias("ties"), F.max("hit").cast("int").alias("hit"))
     top = per.groupBy("type", "probe_id").agg(F.max(F.struct("best", "ties", "hit")).alias("m"))
     return top.select("type", "probe_id", "m.best", "m.ties", "m.hit").withColumn("outcome", outcome(F.col("ties"), F.col("hit")))

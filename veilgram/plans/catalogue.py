@@ -13,6 +13,7 @@ from veilgram.functions.hashing import SeededTwister
 from veilgram.operators import dedupe, encode, evaluate, select, stats
 from veilgram.plans.linkage import Linkage
 from veilgram.plans.sampling import voters
+from veilgram.sources import people
 
 BF_LEN, PROB, METHOD, SEED = 256, 0.1, "ala", 42
 
@@ -79,7 +80,7 @@ def means(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "voters_normalised": lambda s, d: voters(s, d).normalised.select("rec_id", "attr1", "attr2", "attr3", "complete"),
-    "missing_values": lambda s, d: voters(s, d).normalised.agg(F.count_if(~F.col("complete")).alias("n_missing"), F.count("*").alias("n_active")),
+    "missing_values": lambda s, d: people.missing(voters(s, d).normalised),
     "qgram_sets": lambda s, d: voters(s, d).qgrams.select("rec_id", joined().alias("qs"), F.size("qs").alias("n_grams")),
     "qgram_dedupe": lambda s, d: dedupe.distinct_sets(voters(s, d).qgrams).select("rec_id", "ord", joined().alias("qs")),
     "rec_upsert": rec_upsert,

@@ -35,6 +35,11 @@ class Linkage:
         probes, cands = match.sides(self.sample.select("rec_id", "type"), self.bfs)
         return cut(probes), cut(cands)
 
+    @cached_property
+    def sides_once(self) -> tuple[DataFrame, DataFrame]:
+        probes, cands = match.sides_once(self.sample.select("rec_id", "type"), self.bfs)
+        return cut(probes), cut(cands)
+
     @cached_property
     def hardened(self) -> DataFrame:
         """type, side, rec_id, pos, n1 under md5 noise."""
@@ -44,7 +49,7 @@ class Linkage:
 
     @cached_property
     def clean(self) -> DataFrame:
-        return match.clean(*self.sides)
+        return match.clean(*self.sides_once)
 
     @cached_property
     def noisy(self) -> DataFrame:
@@ -52,11 +57,11 @@ class Linkage:
         if c.flip_prob == 0:  # nothing flips
             return self.clean
         if self.noise == "philox":
-            return match.block_product(*self.sides, c.bf_len, (c.flip_method, c.flip_prob, c.seed))
+            return match.block_product(*self.sides_once, c.bf_len, (c.flip_method, c.flip_prob, c.seed))
         h = self.hardened
         probes = h.filter("side = 'p'").select("type", F.col("rec_id").alias("probe_id"), "pos", "n1")
         cands = h.filter("side = 'c'").select("type", F.col("rec_id").alias("cand_id"), "pos", "n1")
-        return match.noisy(probes, cands, c.bf_len)
+        return match.block_product(probes, cands, c.bf_len)
 
     @cached_property
     def results(self) -> DataFrame:
@@ -67,7 +72,8 @@ class Linkage:
         return match.tally(self.results, list(SUBSET_TYPES), list(METRICS), OUTCOMES)
 
     def diagnostics(self, n_probes: int = 25, k: int = 5) -> DataFrame:
-        """Best k clean matches of the first n_probes records (by ord) of each type, with set and filter sizes."""
+        """Best k clean matches of the first n_probes records (by ord) of each type, with set and filter sizes, and the
+        similarity under noise."""
         from pyspark.sql import Window
 
         probes, cands = self.sides
@@ -77,5 +83,8 @@ class Linkage:
         sets = self.sample.select("rec_id", "qs").dropDuplicates(["rec_id"])
         p = sets.select(F.col("rec_id").alias("probe_id"), F.col("qs").alias("pq"))
         c = sets.select(F.col("rec_id").alias("cand_id"), F.col("qs").alias("cq"))
-        out = best.join(p, "probe_id").join(c, "cand_id")
-        return out.select("type", "probe_id", "cand_id", "place", "sim", F.size("pq").alias("probe_grams"), F.size("cq").alias("cand_grams"), F.size(F.array_intersect("pq", "cq")).alias("common_grams"))
+        filters = self.bfs.select("rec_id", "pos", "n1")
+        pf = filters.withColumnsRenamed({"rec_id": "probe_id", "pos": "pp", "n1": "probe_bits"})
+        cf = filters.withColumnsRenamed({"rec_id": "cand_id", "pos": "cp", "n1": "cand_bits"})
+        out = harden.noisy_dice(best.join(pf, "probe_id").join(cf, "cand_id"), self.cfg, self.noise).join(p, "probe_id").join(c, "cand_id")
+        return out.select("type", "probe_id", "cand_id", "place", "sim", F.size("pq").alias("probe_grams"), F.size("cq").alias("cand_grams"), F.size(F.array_intersect("pq", "cq")).alias("common_grams"), "probe_bits", "cand_bits", "noisy_sim")

@@ -104,11 +104,13 @@ FINAL = {
     **{f"blip_{m}": f"SELECT type, side, rec_id, CAST(len(pos) AS INTEGER) AS n_set, CAST(coalesce(list_sum(pos), 0) AS BIGINT) AS pos_sum FROM noised_{m}" for m in ("ala", "sch")},
     "match_clean": "SELECT type, probe_id, best, ties, hit, outcome FROM clean_m",
     "match_noisy": "SELECT type, probe_id, best, ties, hit, outcome FROM noisy_m",
-    "match_top5": f"""SELECT type, probe_id, cand_id, CAST(place AS INTEGER) AS place, sim, CAST(len(a.qs) AS INTEGER) AS probe_grams, CAST(len(b.qs) AS INTEGER) AS cand_grams, CAST(len(list_intersect(a.qs, b.qs)) AS INTEGER) AS common_grams
+    "match_top5": f"""SELECT type, probe_id, cand_id, CAST(place AS INTEGER) AS place, sim, CAST(len(a.qs) AS INTEGER) AS probe_grams, CAST(len(b.qs) AS INTEGER) AS cand_grams, CAST(len(list_intersect(a.qs, b.qs)) AS INTEGER) AS common_grams,
+        CAST(len(x.pos) AS INTEGER) AS probe_bits, CAST(len(y.pos) AS INTEGER) AS cand_bits, {dice('u.pos', 'v.pos')} AS noisy_sim
       FROM (SELECT *, row_number() OVER (PARTITION BY type, probe_id ORDER BY sim DESC, cand_id) AS place
         FROM (SELECT p.type, p.rec_id AS probe_id, c.rec_id AS cand_id, {dice('p.pos', 'c.pos')} AS sim FROM side p JOIN side c ON p.type = c.type AND p.side = 'p' AND c.side = 'c'
           WHERE (p.type, p.rec_id) IN (SELECT (type, rec_id) FROM (SELECT type, rec_id, row_number() OVER (PARTITION BY type ORDER BY ord) AS i FROM typed WHERE type <> 'b') WHERE i <= 25)))
-      JOIN recs a ON a.rec_id = probe_id JOIN recs b ON b.rec_id = cand_id WHERE place <= 5""",
+      JOIN recs a ON a.rec_id = probe_id JOIN recs b ON b.rec_id = cand_id JOIN bfs x ON x.rec_id = probe_id JOIN bfs y ON y.rec_id = cand_id
+      JOIN noised_ala u USING (type) JOIN noised_ala v USING (type) WHERE place <= 5 AND u.side = 'p' AND u.rec_id = probe_id AND v.side = 'c' AND v.rec_id = cand_id""",
     "linkage_report": "SELECT type, metric, outcome, coalesce(n, 0) AS n FROM (SELECT type, metric, outcome FROM codes, (SELECT unnest(['og_bf_dice', 'blip_bf_dice']) AS metric), (SELECT unnest(["
     + ", ".join(f"'{o}'" for o in OUTCOMES)
     + "]) AS outcome)) LEFT JOIN (SELECT type, metric, outcome, count(*) AS n FROM (SELECT *, 'og_bf_dice' AS metric FROM clean_m UNION ALL SELECT *, 'blip_bf_dice' FROM noisy_m) GROUP BY ALL) USING (type, metric, outcome)",

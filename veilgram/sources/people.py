@@ -44,18 +44,25 @@ def normalised(src: DataFrame, min_len: int = 2) -> DataFrame:
 
 
 def qgram_rows(norm: DataFrame, q: int = 2) -> DataFrame:
-    """rec_id, ord, qs of the complete rows."""
+    """rec_id, ord, qs of the complete rows; a complete row whose values are all shorter than q raises."""
     attrs = [F.col(c) for c in norm.columns if c.startswith("attr")]
-    return norm.filter("complete").select("rec_id", "ord", text.qgram_set(attrs, q).alias("qs"))
+    rows = norm.filter("complete").select("rec_id", "ord", text.qgram_set(attrs, q).alias("qs"))
+    none = F.raise_error(F.concat(F.lit("no q-gram in record "), F.col("rec_id"))).cast("array<string>")
+    return rows.withColumn("qs", F.when(F.size("qs") > 0, F.col("qs")).otherwise(none)) if q > 2 else rows
+
+
+def missing(norm: DataFrame) -> DataFrame:
+    """n_missing, n_active."""
+    return norm.agg(F.count_if(~F.col("complete")).alias("n_missing"), F.count("*").alias("n_active"))
 
 
 def voters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A person view of the documents table: its first three words as attributes; English rows are active."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    first = "^[^a-z]*([a-z]+)" + 2 * "(?:[^a-z]+([a-z]+))?"  # reads no further than the third word
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    word = lambda i: F.coalesce(F.try_element_at(F.col("w"), F.lit(i)), F.lit("")).alias(f"attr{i}")
-    base = docs.select(F.col("doc_id").alias("rec_id"), F.col("doc_id").alias("ord"), F.when(F.col("lang") == "en", "a").otherwise("i").alias("status_code"), words.alias("w"))
+    word = lambda i: F.regexp_extract("w", first, i).alias(f"attr{i}")
+    base = docs.select(F.col("doc_id").alias("rec_id"), F.col("doc_id").alias("ord"), F.when(F.col("lang") == "en", "a").otherwise("i").alias("status_code"), F.lower(F.coalesce("text", F.lit(""))).alias("w"))
     return base.select("rec_id", "ord", "status_code", word(1), word(2), word(3))
 
 
-__all__ = ["BAD", "normalised", "people", "qgram_rows", "scan", "voters"]
+__all__ = ["BAD", "missing", "normalised", "people", "qgram_rows", "scan", "voters"]
