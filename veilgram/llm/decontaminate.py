@@ -74,26 +74,58 @@ def repetitions(q: int) -> int:
     return 1 if good == n else math.ceil(math.log(1 - RECALL) / math.log(1 - good / n))
 
 
+def mixed(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    key = (key ^ word) * U(0x9E3779B97F4A7C15)
+    return key ^ (key >> U(29))
+
+
+def moved(word: np.ndarray, turn: np.uint64) -> np.ndarray:
+    """1 where a walk that reads the word moves on."""
+    return ((word * turn) >> U(63)).astype(np.int8)
+
+
+#: Samples after which a document's window is dropped if no item's begins so.
+EARLY = 3
+
+
 class Walk:
     """One repetition for items of runs of q words: its sampled steps, and a multiplier a step whose top bit moves on."""
 
     def __init__(self, q: int, r: int):
         choices = samplings(q)
         self.steps = choices[xxhash.xxh3_64_intdigest(f"{SEED}|{q}|{r}") % len(choices)]
+        self.early = self.steps[min(EARLY, len(self.steps)) - 1]
         self.turns = np.array([xxhash.xxh3_64_intdigest(f"{SEED}|{q}|{r}|{i}") | 1 for i in range(2 * q - 2)], U)
 
-    def keys(self, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows at the first n tokens: key, last place read, different places sampled. tokens go on beyond n."""
+    def keys(self, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows at the first n tokens: key, that of the first EARLY samples, last place read, different places
+        sampled. tokens go on beyond n."""
         at, key, last, seen = np.arange(n), np.zeros(n, U), np.full(n, -1), np.zeros(n, np.int8)
         for step in range(self.steps[-1] + 1):
             if step in self.steps:
-                key = (key ^ tokens[at]) * U(0x9E3779B97F4A7C15)
-                key ^= key >> U(29)
+                key = mixed(key, tokens[at])
                 seen += at != last
                 last = at.copy()
+                if step == self.early:
+                    first = key
+            if step < self.steps[-1]:
+                at = at + moved(tokens[at], self.turns[step])
+        return key, first, at, seen
+
+    def sieved(self, tokens: np.ndarray, n: int, early: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows whose keys the sieves let through, and the keys. Most end after the first EARLY samples."""
+        begin = at = np.arange(n)
+        key = np.zeros(n, U)
+        for step in range(self.steps[-1] + 1):
+            if step in self.steps:
+                key = mixed(key, tokens[at])
+                if step == self.early:
+                    left = np.flatnonzero(early[key >> U(64 - SIEVE_BITS)])
+                    begin, at, key = begin[left], at[left], key[left]
             if step < self.steps[-1]:
-                at += ((tokens * self.turns[step]) >> U(63)).astype(np.int8)[at]
-        return key, at, seen
+                at = at + (moved(tokens, self.turns[step])[at] if len(at) == n else moved(tokens[at], self.turns[step]))
+        left = np.flatnonzero(sieve[key >> U(64 - SIEVE_BITS)])
+        return begin[left], key[left]
 
 
 class Items:
@@ -107,7 +139,7 @@ class Items:
         self.repeat = {q: repetitions(q) for q in np.unique(self.run).tolist()}
 
     @cached_property
-    def tables(self) -> list[tuple[Walk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def tables(self) -> list[tuple[Walk, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         out = []
         for q, repeat in self.repeat.items():
             which = np.flatnonzero(self.run == q)
@@ -117,12 +149,13 @@ class Items:
             item, offset = np.repeat(which, size), np.arange(ends[-1]) - np.repeat(ends - size, size)
             for r in range(repeat):
                 walk = Walk(q, r)
-                key, at, seen = walk.keys(flat, int(ends[-1]))
+                key, first, at, seen = walk.keys(flat, int(ends[-1]))
                 good = np.flatnonzero((at < np.repeat(ends, size)) & (seen > q // 2))
                 good = good[np.argsort(key[good], kind="stable")]
-                sieve = np.zeros(1 << SIEVE_BITS, bool)
+                early, sieve = (np.zeros(1 << SIEVE_BITS, bool) for _ in range(2))
+                early[first[good] >> U(64 - SIEVE_BITS)] = True
                 sieve[key[good] >> U(64 - SIEVE_BITS)] = True
-                out.append((walk, sieve, key[good], item[good].astype(np.int32), offset[good].astype(np.int32)))
+                out.append((walk, early, sieve, key[good], item[good].astype(np.int32), offset[good].astype(np.int32)))
         return out
 
     def candidates(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,10 +163,9 @@ class Items:
         document's first. ends: of each document."""
         got = [np.zeros((3, 0), np.int64)]
         padded = np.concatenate([tokens, np.zeros(2 * QMAX, U)])
-        for walk, sieve, keys, items, offsets in self.tables:
-            key, _, _ = walk.keys(padded, len(tokens))
-            at = np.flatnonzero(sieve[key >> U(64 - SIEVE_BITS)])
-            lo, hi = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
+        for walk, early, sieve, keys, items, offsets in self.tables:
+            at, key = walk.sieved(padded, len(tokens), early, sieve)
+            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             k = hi - lo
             rep = np.repeat(np.arange(len(k)), k)
             row = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
