@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from veilgram.llm import common
 
-LIMIT, RECALL, QMAX, SIEVE_BITS, SEED = 0.2, 0.9999, 8, 20, 5
+LIMIT, RECALL, QMAX, SEED = 0.2, 0.9999, 8, 5
 MAX_BYTES = 2 << 20
 PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 U = np.uint64
@@ -84,8 +84,19 @@ def moved(word: np.ndarray, turn: np.uint64) -> np.ndarray:
     return ((word * turn) >> U(63)).astype(np.int8)
 
 
-#: Samples after which a document's window is dropped if no item's begins so.
-EARLY = 3
+def sieve_of(keys: np.ndarray) -> np.ndarray:
+    """A flag for each beginning of a key, of some sixteen times as many as there are keys."""
+    out = np.zeros(1 << max(16, (16 * len(keys)).bit_length()), bool)
+    out[at_sieve(keys, out)] = True
+    return out
+
+
+def at_sieve(keys: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    return keys >> U(65 - len(sieve).bit_length())
+
+
+#: Samples after which a document's window is dropped if no item's begins so; windows that are walked at a time, in cache.
+EARLY, BLOCK = 3, 1 << 14
 
 
 class Walk:
@@ -120,11 +131,11 @@ class Walk:
             if step in self.steps:
                 key = mixed(key, tokens[at])
                 if step == self.early:
-                    left = np.flatnonzero(early[key >> U(64 - SIEVE_BITS)])
+                    left = np.flatnonzero(early[at_sieve(key, early)])
                     begin, at, key = begin[left], at[left], key[left]
             if step < self.steps[-1]:
                 at = at + (moved(tokens, self.turns[step])[at] if len(at) == n else moved(tokens[at], self.turns[step]))
-        left = np.flatnonzero(sieve[key >> U(64 - SIEVE_BITS)])
+        left = np.flatnonzero(sieve[at_sieve(key, sieve)])
         return begin[left], key[left]
 
 
@@ -152,10 +163,7 @@ class Items:
                 key, first, at, seen = walk.keys(flat, int(ends[-1]))
                 good = np.flatnonzero((at < np.repeat(ends, size)) & (seen > q // 2))
                 good = good[np.argsort(key[good], kind="stable")]
-                early, sieve = (np.zeros(1 << SIEVE_BITS, bool) for _ in range(2))
-                early[first[good] >> U(64 - SIEVE_BITS)] = True
-                sieve[key[good] >> U(64 - SIEVE_BITS)] = True
-                out.append((walk, early, sieve, key[good], item[good].astype(np.int32), offset[good].astype(np.int32)))
+                out.append((walk, sieve_of(first[good]), sieve_of(key[good]), key[good], item[good].astype(np.int32), offset[good].astype(np.int32)))
         return out
 
     def candidates(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +172,9 @@ class Items:
         got = [np.zeros((3, 0), np.int64)]
         padded = np.concatenate([tokens, np.zeros(2 * QMAX, U)])
         for walk, early, sieve, keys, items, offsets in self.tables:
-            at, key = walk.sieved(padded, len(tokens), early, sieve)
+            parts = [walk.sieved(padded[a : a + BLOCK + 2 * QMAX], min(BLOCK, len(tokens) - a), early, sieve) for a in range(0, len(tokens), BLOCK)]
+            at = np.concatenate([np.zeros(0, np.int64), *[p[0] + k * BLOCK for k, p in enumerate(parts)]])
+            key = np.concatenate([np.zeros(0, U), *[p[1] for p in parts]])
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             k = hi - lo
             rep = np.repeat(np.arange(len(k)), k)
