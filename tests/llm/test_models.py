@@ -431,6 +431,27 @@ def test_pipeline(spark):
     assert sorted((r.doc_id, r.shard, r.slot) for r in corpus_pipeline.run(spark, SF).collect()) == want
 
 
+def test_pipeline_odd_rows(spark):
+    """Nulls in any column, empty, repeated and long rows, clashing columns and an empty table, through all stages."""
+    import corpus_pipeline
+
+    names = "_id _own _source _lang _lot _number _place _order _tie key digest score predicted id part topic tokens prob".split()
+    some = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    rows = [*some, (None, None, None, None, None), (None, "", "en", None, 0), (5000, None, None, "s", 0), (5001, "", "en", "s", 0), some[0], some[1], (None, some[2][1], "en", "s", 1), (5002, "word " * 60000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs = docs.withColumns({n: F.lit("mine") for n in names})
+    for frame in (docs, docs.limit(0)):
+        seen = frame
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, seen, SF).persist()
+            assert out.count() <= seen.count(), name
+            assert out.columns[: len(docs.columns)] == docs.columns, name
+            assert {tuple(r) for r in out.select(*names).distinct().collect()} <= {("mine",) * len(names)}, name
+            if name != "mixing" and frame is docs:
+                assert out.count() > 0, name
+            seen = out
+
+
 def test_rest_works_without_the_subpackage(tmp_path):
     """A copy without the llm folders and the pipeline still imports."""
     import shutil
