@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from veilgram.config import BASE_TYPE, SampleConfig
 from veilgram.operators import stats
 
+#: Leading hexadecimal digits of a hash that name its cell: 4,096 cells of about equal size.
+CELL_DIGITS = 3
+
 
 class TooFewRecords(ValueError):
     pass
@@ -61,12 +64,17 @@ def overlaps(nine: DataFrame) -> DataFrame:
 
 
 def shuffled(recs: DataFrame, nine: DataFrame, cfg: SampleConfig) -> DataFrame:
-    """Ids in no subset, the first 3 n_subset + n_base of them in a keyed hash order that no
-    partitioning changes, with their 0-based position."""
+    """Ids in no subset, the first 3 n_subset + n_base of them in a keyed hash order that no partitioning changes, with
+    their 0-based position: the ids before a row's cell of the hash, and its place among those of the cell. Only the cells
+    that begin within the wanted number are sorted."""
+    wanted = 3 * cfg.n_subset + cfg.n_base
     h = F.md5(F.concat_ws("|", F.lit(str(cfg.seed)), F.lit("rnd"), F.col("rec_id").cast("string")))
-    free = recs.join(nine.select("rec_id"), "rec_id", "left_anti").select("rec_id", "ord", h.alias("h"))
-    some = free.orderBy("h", "ord").limit(3 * cfg.n_subset + cfg.n_base)
-    return some.select("rec_id", "ord", (F.row_number().over(Window.partitionBy().orderBy("h", "ord")) - 1).alias("pos"))
+    free = recs.join(nine.select("rec_id"), "rec_id", "left_anti").select("rec_id", "ord", h.alias("h"), F.substring(h, 1, CELL_DIGITS).alias("cell"))
+    earlier = Window.partitionBy().orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # over the cells, not the ids
+    cells = free.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rows = free.join(F.broadcast(cells.filter(F.col("before") < wanted)), "cell")  # 16 ** CELL_DIGITS rows at most
+    pos = F.col("before") + F.row_number().over(Window.partitionBy("cell").orderBy("h", "ord")) - 1
+    return rows.select("rec_id", "ord", pos.alias("pos")).filter(F.col("pos") < wanted)
 
 
 def random_and_base(order: DataFrame, cfg: SampleConfig) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from veilgram.config import LinkConfig
 from veilgram.functions import similarity as sim
-from veilgram.functions.hashing import SeededTwister
+from veilgram.functions.hashing import IndexedDigest, SeededTwister
 from veilgram.operators import dedupe, encode, evaluate, select, stats
+from veilgram.plans.lineage import fresh_folder
 from veilgram.plans.linkage import Linkage
 from veilgram.plans.sampling import voters
-from veilgram.sources import people
+from veilgram.sources import people, samples
 
-BF_LEN, PROB, METHOD, SEED = 256, 0.1, "ala", 42
+BF_LEN, PROB, METHOD, SEED, SALT = 256, 0.1, "ala", 42, "pepper"
 
 
 def joined(c: str = "qs") -> F.Column:
@@ -36,6 +37,45 @@ def subset(code: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: voters(s, d).subsets[code].select("rec_id", "ord", "type")
 
 
+def people_file(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Whole and quarantined rows of the voters written as CSV text and scanned; every seventh row lacks its last two fields."""
+    path = fresh_folder(s, "people")
+    rows = people.voters(s, d)
+    fields = [F.col(c).cast("string") for c in ("rec_id", "attr1", "attr2", "attr3", "status_code")]
+    line = F.when(F.col("ord") % 7 == 0, F.concat_ws(",", *fields[:3])).otherwise(F.concat_ws(",", *fields))
+    # The first row of each partition (its number in the low 33 bits is 0) brings its file's header.
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    header = F.lit("id,first,second,third,status_code\n")
+    rows.select(F.concat(F.when(first, header).otherwise(""), line)).write.text(path)
+    return people.people(people.scan(s, path), 0, 4, [1, 2, 3])
+
+
+def people_csv(s: SparkSession, d: str) -> DataFrame:
+    return people.normalised(people_file(s, d)[0]).select("rec_id", "attr1", "attr2", "attr3", "complete")
+
+
+def people_quarantined(s: SparkSession, d: str) -> DataFrame:
+    return people_file(s, d)[1].select(F.trim(F.regexp_replace(people.BAD, "[\r\n]", "")).alias("line"))
+
+
+def sample_file(write: Callable, read: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    """The typed sample written, read back and checked for its sizes."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        made, path = voters(s, d), fresh_folder(s, "sample")
+        write(made.sample, path)
+        rows = read(s, path)
+        evaluate.validate(rows, made.cfg.n_subset, made.cfg.n_base)
+        return rows.select("rec_id", "type", joined().alias("qs"))
+
+    return run
+
+
+def match_no_noise(s: SparkSession, d: str) -> DataFrame:
+    cfg = LinkConfig(bf_len=BF_LEN, flip_method=METHOD, flip_prob=0.0, seed=SEED)
+    return result(Linkage(voters(s, d).sample, cfg).noisy)
+
+
 def set_pairs(s: SparkSession, d: str) -> DataFrame:
     """Record pairs that share their first gram: an equality join."""
     r = voters(s, d).records.withColumn("k", F.col("qs")[0])
@@ -98,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bf_positions": lambda s, d: linkage(s, d).bfs.select("rec_id", joined("pos").alias("pos")),
     "bf_popcount": lambda s, d: linkage(s, d).bfs.select("rec_id", sim.popcount(encode.packed(F.col("pos"), BF_LEN), encode.n_words(BF_LEN)).cast("int").alias("n_set")),
     "bf_position_table": lambda s, d: encode.vocabulary(voters(s, d).records, BF_LEN, 10).select("q", joined("pos").alias("pos")),
+    "bf_salted_table": lambda s, d: encode.vocabulary(voters(s, d).records, BF_LEN, 10, IndexedDigest(SALT)).select("q", joined("pos").alias("pos")),
     "bf_mt19937": lambda s, d: encode.vocabulary(voters(s, d).records, BF_LEN, 10, SeededTwister()).select("q", joined("pos").alias("pos")),
     "qgram_dice": set_similarity(sim.qgram_dice),
     "qgram_jaccard": set_similarity(sim.qgram_jaccard),
@@ -111,6 +152,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_noisy": lambda s, d: result(linkage(s, d).noisy),
     "match_noisy_philox": lambda s, d: result(linkage(s, d, noise="philox").noisy),
     "match_top5": lambda s, d: linkage(s, d).diagnostics(),
+    "match_no_noise": match_no_noise,
+    "people_csv": people_csv,
+    "people_quarantined": people_quarantined,
+    "sample_csv": sample_file(samples.write_csv, samples.read_csv),
+    "sample_parquet": sample_file(samples.write, samples.read),
     "linkage_report": lambda s, d: linkage(s, d).tally,
 }
 

@@ -4,18 +4,28 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir, so that plans built on it stay small and a
-    lost executor costs no recomputation. A temporary folder serves only where none is set, as in local runs."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, that of spark.checkpoint.dir; a temporary one serves only where none is set, as in local runs."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.match(r"local($|\[)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def fresh_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that plans built on it stay small and a lost executor costs no
+    recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from veilgram.config import OUTCOMES, SUBSET_TYPES
-from veilgram.plans.catalogue import BF_LEN, PROB, SEED
+from veilgram.plans.catalogue import BF_LEN, PROB, SALT, SEED
 
 STEPS = {
     "words": "SELECT doc_id AS ord, lang, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents",
@@ -34,8 +34,8 @@ STEPS["typed"] = "SELECT rec_id, ord, type FROM nine UNION ALL SELECT rec_id, or
 STEPS["k"] = f"SELECT CAST(floor({BF_LEN}::DOUBLE / avg(len(qs)) * ln(2.0::DOUBLE)) AS INTEGER) AS k_opt FROM typed JOIN recs USING (rec_id)"
 
 
-def vocab(k: str, source: str = "(SELECT DISTINCT q FROM rq)") -> str:
-    return f"SELECT q, list_sort(list(DISTINCT p)) AS pos FROM (SELECT q, CAST(('0x' || substr(md5(q || '|' || CAST(i AS VARCHAR)), 1, 8))::BIGINT % {BF_LEN} AS INTEGER) AS p FROM {source}, (SELECT unnest(range(0, {k})) AS i)) GROUP BY q"
+def vocab(k: str, source: str = "(SELECT DISTINCT q FROM rq)", salt: str = "") -> str:
+    return f"SELECT q, list_sort(list(DISTINCT p)) AS pos FROM (SELECT q, CAST(('0x' || substr(md5(q || '{salt}|' || CAST(i AS VARCHAR)), 1, 8))::BIGINT % {BF_LEN} AS INTEGER) AS p FROM {source}, (SELECT unnest(range(0, {k})) AS i)) GROUP BY q"
 
 
 STEPS["sampled"] = "SELECT DISTINCT rec_id FROM typed"
@@ -95,6 +95,7 @@ FINAL = {
     "bf_positions": f"SELECT rec_id, {TEXT} FROM bfs",
     "bf_popcount": "SELECT rec_id, CAST(len(pos) AS INTEGER) AS n_set FROM bfs",
     "bf_position_table": f"SELECT q, {TEXT} FROM ({vocab('10')})",
+    "bf_salted_table": f"SELECT q, {TEXT} FROM ({vocab('10', salt=SALT)})",
     "qgram_dice": f"SELECT a_id, b_id, {dice('aq', 'bq')} AS sim FROM pairs",
     "qgram_jaccard": f"SELECT a_id, b_id, {SIM}::DOUBLE / {UNION} AS sim FROM pairs",
     "qgram_hamming": f"SELECT a_id, b_id, 1.0::DOUBLE - ({UNION} - {SIM})::DOUBLE / {UNION} AS sim FROM pairs",
@@ -103,6 +104,10 @@ FINAL = {
     "bf_jaccard": f"SELECT a_id, b_id, greatest(0.0::DOUBLE, 1.0::DOUBLE - 2.0::DOUBLE * (len(aq) + len(bq) - 2 * {SIM}) / {BF_LEN}) AS sim FROM ({BF_PAIRS})",
     **{f"blip_{m}": f"SELECT type, side, rec_id, CAST(len(pos) AS INTEGER) AS n_set, CAST(coalesce(list_sum(pos), 0) AS BIGINT) AS pos_sum FROM noised_{m}" for m in ("ala", "sch")},
     "match_clean": "SELECT type, probe_id, best, ties, hit, outcome FROM clean_m",
+    "match_no_noise": "SELECT type, probe_id, best, ties, hit, outcome FROM clean_m",
+    "people_csv": "SELECT rec_id, attr1, attr2, attr3, complete FROM norm WHERE ord % 7 <> 0",
+    "people_quarantined": "SELECT rec_id || ',' || attr1 || ',' || attr2 AS line FROM voters WHERE ord % 7 = 0",
+    **dict.fromkeys(("sample_csv", "sample_parquet"), "SELECT rec_id, type, array_to_string(qs, '|') AS qs FROM typed JOIN recs USING (rec_id)"),
     "match_noisy": "SELECT type, probe_id, best, ties, hit, outcome FROM noisy_m",
     "match_top5": f"""SELECT type, probe_id, cand_id, CAST(place AS INTEGER) AS place, sim, CAST(len(a.qs) AS INTEGER) AS probe_grams, CAST(len(b.qs) AS INTEGER) AS cand_grams, CAST(len(list_intersect(a.qs, b.qs)) AS INTEGER) AS common_grams,
         CAST(len(x.pos) AS INTEGER) AS probe_bits, CAST(len(y.pos) AS INTEGER) AS cand_bits, {dice('u.pos', 'v.pos')} AS noisy_sim
