@@ -38,7 +38,8 @@ class Linkage:
     @cached_property
     def sides_once(self) -> tuple[DataFrame, DataFrame]:
         probes, cands = match.sides_once(self.sample.select("rec_id", "type"), self.bfs)
-        return cut(probes), cut(cands)
+        # Rows are small and their noise and products costly: spread them, or adaptive execution packs them into one task.
+        return cut(probes), cut(cands.repartition(cands.sparkSession.sparkContext.defaultParallelism, "type", "cand_id"))
 
     @cached_property
     def hardened(self) -> DataFrame:
