@@ -62,6 +62,14 @@ class Scratch:
         self.at[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def store(self, name: str, df: DataFrame) -> DataFrame:
+        """put() for a table that is written as it comes, a file a task."""
+        path, self.n = f"{self.root}/{name}-{self.n}", self.n + 1
+        df.write.options(compression="zstd", **{"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(path)
+        self.drop(name)
+        self.at[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def hold(self, name: str, df: DataFrame) -> DataFrame:
         df = df.persist(StorageLevel.DISK_ONLY)
         df.count()
