@@ -17,7 +17,7 @@ The model's bytes are broadcast (it's a file of fixed size; its path is a parame
 
 Defined cases: null and empty texts have the begin and end ids alone, with empty spans; null doc_ids and repeated rows are rows of
 their own; an empty table gives no rows; texts are encoded whole, however long (a stretch without any place to part it
-is merged in memory as one); columns named as the added ones are replaced. Models with user-defined symbols, white space
+is merged in memory as one); columns named as the added ones are replaced. Models with user-defined or unused pieces, white space
 as suffix, a map for decoding, or of another kind than BPE raise ValueError."""
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ from veilgram.llm import common
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Different segments (and their pieces) that a task keeps; characters from which a segment is parted between any two that no piece joins.
-HELD, HELD_PIECES, LONG = 1 << 18, 1 << 21, 48
+HELD, HELD_PIECES, LONG = 1 << 19, 1 << 22, 48
+#: Rank of pairs that make no piece.
+NEVER = 1 << 62
 #: Fixed values of the model format: kinds of pieces, and numbers of fields.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PIECES, TRAINER, NORMALIZER, DENORMALIZER = 1, 2, 3, 5
@@ -75,7 +77,6 @@ class CharMap:
         n = int.from_bytes(data[:4], "little")
         self.units, self.texts, self.known = np.frombuffer(data[4 : 4 + n], "<u4").tolist(), data[4 + n :], {}
         self.parts = not self.over_space()
-        self.starts = re.compile(b"[" + b"".join(re.escape(bytes([c])) for c in range(256) if self.step(0, c)) + b"\x20]")
 
     @staticmethod
     def offset(unit: int) -> int:
@@ -145,10 +146,10 @@ class Segments(dict):
 
     def __missing__(self, segment: str) -> int:
         parts = self.model.parted(segment) if len(segment) > LONG else [segment]
-        for part in parts:
-            found = self.model.pieces_of(part) if len(parts) == 1 else self.pieces_at(self[part])
-            self.ids.extend(found[0])
-            self.sizes.extend(found[1])
+        numbers = [self[p] for p in parts] if len(parts) > 1 else []  # before this one's own pieces are put down
+        for ids, sizes in map(self.pieces_at, numbers) if numbers else [self.model.pieces_of(segment)]:
+            self.ids.extend(ids)
+            self.sizes.extend(sizes)
         self[segment] = n = len(self.ends) - 1
         self.ends.append(len(self.ids))
         return n
@@ -160,22 +161,24 @@ class Segments(dict):
 
 class Model:
     def __init__(self, data: bytes):
-        self.texts, self.kinds, self.score, self.ids, self.bytes = [], [], {}, {}, {}
+        self.texts, self.kinds, self.ids, self.bytes, score = [], [], {}, {}, {}
         trainer = normalizer = denormalizer = b""
         for number, value in fields(data):
             if number == PIECES:
                 f = dict(fields(value))
                 text, kind = f.get(1, b"").decode(), f.get(3, NORMAL)
-                if kind in (NORMAL, UNUSED):
-                    self.score[text], self.ids[text] = struct.unpack("<f", f.get(2, bytes(4)))[0], len(self.texts)
+                if kind == NORMAL:
+                    score[text], self.ids[text] = struct.unpack("<f", f.get(2, bytes(4)))[0], len(self.texts)
                 if kind == BYTE:
                     self.bytes[int(text[3:-1], 16)] = len(self.texts)
                 self.texts.append(text)
                 self.kinds.append(kind)
             trainer, normalizer, denormalizer = (value if number == n else x for n, x in ((TRAINER, trainer), (NORMALIZER, normalizer), (DENORMALIZER, denormalizer)))
         t, n = dict(fields(trainer)), dict(fields(normalizer))
-        if t.get(3, 1) != BPE or t.get(24, 0) or USER_DEFINED in self.kinds or dict(fields(denormalizer)).get(2):
-            raise ValueError("only BPE models without user-defined symbols, suffixed white space or a map for decoding are known")
+        if t.get(3, 1) != BPE or t.get(24, 0) or {USER_DEFINED, UNUSED} & set(self.kinds) or dict(fields(denormalizer)).get(2):
+            raise ValueError("only BPE models without user-defined or unused pieces, suffixed white space or a map for decoding are known")
+        places = {x: i for i, x in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank, self.sizes = {text: places[x] for text, x in score.items()}, [len(x.encode()) for x in self.texts]
         self.map = CharMap(n[2]) if n.get(2) else None
         self.dummy, self.squeeze, self.escape = (bool(n.get(k, 1)) for k in (3, 4, 5))
         self.space = SPACE.encode() if self.escape else b" "
@@ -252,12 +255,27 @@ class Model:
         return [segment[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def merged(self, segment: str) -> list[str]:
-        parts, left, right, heap, made = list(segment), list(range(-1, len(segment) - 1)), list(range(1, len(segment) + 1)), [], {}
+        """The best pair's rank is found among all of a short segment's; a long one keeps its pairs in a heap."""
+        if len(segment) > LONG:
+            return self.merged_by_heap(segment)
+        parts, rank = list(segment), self.rank.get
+        ranks = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
+        return parts
+
+    def merged_by_heap(self, segment: str) -> list[str]:
+        parts, left, right, heap = list(segment), list(range(-1, len(segment) - 1)), list(range(1, len(segment) + 1)), []
 
         def offer(i: int, j: int) -> None:
-            if i >= 0 and j < len(parts) and (s := self.score.get(both := parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (-s, i, j, both))
-                made.setdefault(both, (parts[i], parts[j]))
+            if i >= 0 and j < len(parts) and (r := self.rank.get(both := parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (r, i, j, both))
 
         for i in range(len(parts) - 1):
             offer(i, i + 1)
@@ -270,20 +288,19 @@ class Model:
                 left[right[j]] = i
             offer(left[i], i)
             offer(i, right[i])
-        whole = lambda p: [y for x in made[p] for y in whole(x)] if p in made and self.kinds[self.ids[p]] == UNUSED else [p]
-        return [y for p in parts if p is not None for y in whole(p)]
+        return [p for p in parts if p is not None]
 
     def pieces_of(self, segment: str) -> tuple[list[int], list[int]]:
+        parts = self.merged(segment)
+        found = list(map(self.ids.get, parts))
+        if None not in found:
+            return found, list(map(self.sizes.__getitem__, found))
         ids, sizes = [], []
-        for piece in self.merged(segment):
-            raw, found = piece.encode(), self.ids.get(piece)
-            more = [found] if found is not None else [self.bytes[b] for b in raw] if self.fallback else [self.unknown]
+        for piece, one in zip(parts, found, strict=True):
+            raw = piece.encode("utf-8", "replace")
+            more = [one] if one is not None else [self.bytes[b] for b in raw] if self.fallback else [self.unknown]
             ids += more
             sizes += [0] * (len(more) - 1) + [len(raw)]  # of a character's bytes the last one stands for it
-        if not self.fallback and self.unknown in ids:  # a row of unknown characters is one piece
-            keep = [k for k, i in enumerate(ids) if i != self.unknown or k == 0 or ids[k - 1] != i]
-            sizes = [sum(sizes[a:b]) for a, b in zip(keep, [*keep[1:], len(ids)], strict=True)]
-            ids = [ids[k] for k in keep]
         return ids, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -303,6 +320,10 @@ class Model:
         out, size = np.full(len(inner), self.end, np.int32), np.zeros(len(inner), np.int64)
         out[text_ends - 2 - of_text] = self.begin
         out[inner], size[inner] = ids[at], sizes[at]
+        if not self.fallback and len(out):  # a row of unknown characters is one piece
+            keep = np.concatenate([[True], (out[1:] != self.unknown) | (out[:-1] != self.unknown)])
+            out, size, text_ends = out[keep], np.add.reduceat(size, np.flatnonzero(keep)), np.cumsum(keep)[text_ends - 1]
+            of_text = np.diff(text_ends, prepend=0) - 2
         aligns = [a for _, a in norms]
         base = np.cumsum([0, *map(len, aligns)])[:-1]
         done = np.cumsum(size)
