@@ -6,8 +6,8 @@ the value itself. Each rate is smoothed towards the one before: floor((SCALE * s
 them returned, and p itself where there is none. FIRST is the p of the first.
 
 Plan. Lines are added up by (sale, item, vendor) first, sales by their lines, so that no hot sale meets in one task. Then each
-key's rows are added up by (key, fold, microsecond), and a RANGE window ending at -(gap + 1) over all folds, less the
-same window over the own fold, is the history. Keys with a large share of the rows, classes and the whole are dealt by (key,
+key's rows are added up by (key, fold, microsecond), and a RANGE window ending at -(gap + 1) sums each fold: the sum of all
+folds less the own fold's is the history. Keys with a large share of the rows, classes and the whole are dealt by (key,
 time bucket): the windows run inside buckets, and what lies before a bucket comes from a second level of windows over bucket totals,
 which has further levels while a key has over FAN buckets. Buckets are as wide as hold BUCKET sales if those are spread
 evenly; rows of one microsecond are one row a fold, so a rush fills a bucket with its different microseconds only.
@@ -80,11 +80,20 @@ def before(totals: DataFrame, key: list[str], at: str, widths: list[int]) -> Dat
     return out.join(above, part).select(*key, at, *[(F.col(c) + F.col(f"{c}_")).alias(c) for c in cols])
 
 
-def windows(rows: DataFrame, part: list[str], gap: int, live: Column) -> DataFrame:
-    """hn, hs: sums over all folds less those of the own fold, over rows more than gap before."""
-    every, own = (Window.partitionBy(*part, *fold).orderBy("at").rangeBetween(Window.unboundedPreceding, -(gap + 1)) for fold in ((), ("fold",)))
-    total = lambda c, w: F.coalesce(F.sum(F.when(live, F.col(c)).otherwise(F.lit(0))).over(w), F.lit(0))
-    return rows.withColumns({"hn": total("n", every) - total("n", own), "hs": total("s", every) - total("s", own)})
+def by_fold(folds: int) -> list[tuple[str, str, int]]:
+    return [(f"{c}{i}", c, i) for c in "ns" for i in range(folds)]
+
+
+def windows(rows: DataFrame, part: list[str], gap: int, folds: int, real: Column) -> DataFrame:
+    """rows with n0.., s0..: each fold's sums over the rows more than gap before. One window serves all folds, in one sort."""
+    w = Window.partitionBy(*part).orderBy("at").rangeBetween(Window.unboundedPreceding, -(gap + 1))
+    return rows.withColumns({x: F.coalesce(F.sum(F.when((F.col("fold") == i) & real, F.col(c))).over(w), F.lit(0)) for x, c, i in by_fold(folds)})
+
+
+def others(c: str, folds: int) -> Column:
+    """The sum of all folds less that of the own fold."""
+    sums = [F.col(f"{c}{i}") for i in range(folds)]
+    return reduce(lambda x, y: x + y, sums) - F.get(F.array(*sums), F.col("fold"))
 
 
 def added_up(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -94,19 +103,18 @@ def added_up(rows: DataFrame, key: list[str]) -> DataFrame:
 def bucketed(rows: DataFrame, key: list[str], widths: list[int], gap: int = 0, folds: int = FOLDS) -> DataFrame:
     """rows (key, fold, us, n, s, prior), added up by key, fold and time, with hn, hs: for keys of any share of the rows."""
     at = bucket(F.col("us"), widths[0]).alias("b")
-    of_fold = [F.sum(F.when(F.col("fold") == i, F.col(c)).otherwise(F.lit(0))).alias(f"{c}{i}") for c in "ns" for i in range(folds)]
+    of_fold = [F.sum(F.when(F.col("fold") == i, F.col(c)).otherwise(F.lit(0))).alias(x) for x, c, i in by_fold(folds)]
     totals = rows.select(*key, "fold", at, "n", "s")
     if gap:
         look = bucket(F.col("us") - F.lit(gap), widths[0]).alias("b")
         totals = totals.unionByName(rows.select(*key, "fold", look, F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s")))
-    offsets = before(totals.groupBy(*key, "b").agg(*of_fold), key, "b", widths[1:])
+    offsets = before(totals.groupBy(*key, "b").agg(*of_fold), key, "b", widths[1:]).withColumnsRenamed({x: f"{x}_" for x, _, _ in by_fold(folds)})
     summed = added_up(rows, key).withColumns({"at": F.col("us"), "real": F.lit(True)})
     if gap:
         summed = summed.unionByName(summed.withColumns({"at": F.col("us") - F.lit(gap), "real": F.lit(False)}))
-    inside = windows(summed.withColumn("b", bucket(F.col("at"), widths[0])), [*key, "b"], 0, F.col("real")).filter(~F.col("real") if gap else F.lit(True))
-    out = inside.join(offsets, [*key, "b"])
-    past = lambda c: reduce(lambda x, y: x + y, [F.col(f"{c}{i}") for i in range(folds)]) - F.get(F.array(*[F.col(f"{c}{i}") for i in range(folds)]), F.col("fold"))
-    return out.select(*key, "fold", "us", "n", "s", "prior", (F.col("hn") + past("n")).alias("hn"), (F.col("hs") + past("s")).alias("hs"))
+    inside = windows(summed.withColumn("b", bucket(F.col("at"), widths[0])), ["b", *key], 0, folds, F.col("real")).filter(~F.col("real") if gap else F.lit(True))
+    out = inside.join(offsets.hint("shuffle_hash"), ["b", *key]).withColumns({x: F.col(x) + F.col(f"{x}_") for x, _, _ in by_fold(folds)})
+    return out.select(*key, "fold", "us", "n", "s", "prior", others("n", folds).alias("hn"), others("s", folds).alias("hs"))
 
 
 def hot_keys(rows: DataFrame, key: str, total: int, least: int = BUCKET, most: int = HOT) -> DataFrame:
@@ -121,14 +129,14 @@ def rates(rows: DataFrame, key: str, classes: DataFrame, widths: list[int], scra
     hot = F.broadcast(hot_keys(rows, key, rows.count(), least))
     classes = classes.select(key, F.concat(F.lit("="), F.col("class").cast("string")).alias("class")).groupBy(key).agg(F.min("class").alias("class"))
     # No key of these has many rows, so one exchange by key serves adding up, class join and windows.
-    cold = added_up(rows.join(hot, key, "left_anti").repartition(key), [key]).join(classes.hint("merge"), key, "left")
-    cold = windows(cold.withColumn("at", F.col("us")), [key], gap, F.lit(True)).drop("at")
+    cold = added_up(rows.join(hot, key, "left_anti").repartition(key), [key]).join(classes.hint("shuffle_hash"), key, "left")
+    cold = windows(cold.withColumn("at", F.col("us")), [key], gap, folds, F.lit(True)).withColumns({"hn": others("n", folds), "hs": others("s", folds)})
     busy = bucketed(rows.join(hot, key, "left_semi"), [key], widths, gap, folds).join(F.broadcast(classes.join(hot, key, "left_semi")), key, "left")
     names = [key, "fold", "us", "n", "s", "prior", "hn", "hs"]
     own = scratch.store(key, cold.select(*names, "class").unionByName(busy.select(*names, "class")).withColumn("class", F.coalesce("class", F.lit(""))))
     above = bucketed(own.drop("hn", "hs", key), ["class"], widths, gap, folds)
     above = above.select("class", "fold", "us", rate(F.col("hn"), F.col("hs"), F.col("prior")).alias("p"))
-    both = own.join(above.hint("merge"), ["class", "fold", "us"])
+    both = own.join(above.hint("merge"), ["us", "fold", "class"])
     return both.select(key, "fold", "us", F.col("hn").alias("n"), rate(F.col("hn"), F.col("hs"), F.col("p")).alias("rate"))
 
 
@@ -144,9 +152,9 @@ def encoded(sales: DataFrame, lines: DataFrame, items: DataFrame, vendors: DataF
     sold = scratch.store("sales", lines.groupBy("sale_id").agg(*sums).join(sold.hint("merge"), "sale_id"))
     whole = bucketed(sold.select("fold", "us", "n", "s", F.lit(FIRST).cast("long").alias("prior")), [], widths, gap, folds)
     whole = whole.select("fold", "us", rate(F.col("hn"), F.col("hs"), F.col("prior")).alias("prior"))
-    sold = scratch.store("sales", sold.join(whole.hint("merge"), ["fold", "us"]))
+    sold = scratch.store("sales", sold.join(whole.hint("merge"), ["us", "fold"]))
     of_client = rates(sold, "client_id", clients.select(F.col("client_id").cast("long").alias("client_id"), F.col("segment").alias("class")), widths, scratch, gap, folds, bucket_rows)
-    sold = sold.join(of_client.select("client_id", "fold", "us", F.col("n").alias("client_n"), F.col("rate").alias("client_rate")).hint("merge"), ["client_id", "fold", "us"])
+    sold = sold.join(of_client.select("client_id", "fold", "us", F.col("n").alias("client_n"), F.col("rate").alias("client_rate")).hint("merge"), ["us", "fold", "client_id"])
     rows = lines.groupBy("sale_id", "item_id", "vendor_id").agg(*sums).join(sold.drop("client_id", "n", "s").hint("merge"), "sale_id")
     rows = scratch.store("rows", rows.withColumn("vendor_key", F.coalesce("vendor_id", F.lit(NO_KEY))))
     out = rows.drop("prior")
@@ -155,7 +163,7 @@ def encoded(sales: DataFrame, lines: DataFrame, items: DataFrame, vendors: DataF
         ("vendor_key", "vendor", vendors.select(F.col("vendor_id").cast("long").alias("vendor_key"), F.col("nation_id").alias("class"))),
     ):
         found = rates(rows.select(key, "fold", "us", "n", "s", "prior"), key, classes, widths, scratch, gap, folds, bucket_rows)
-        out = out.join(found.select(key, "fold", "us", F.col("n").alias(f"{name}_n"), F.col("rate").alias(f"{name}_rate")).hint("merge"), [key, "fold", "us"])
+        out = out.join(found.select(key, "fold", "us", F.col("n").alias(f"{name}_n"), F.col("rate").alias(f"{name}_rate")).hint("merge"), ["us", "fold", key])
     return out.select("sale_id", "item_id", "vendor_id", F.col("n").alias("n_lines"), F.col("s").alias("n_returned"), "item_n", "item_rate", "vendor_n", "vendor_rate", "client_n", "client_rate")
 
 
