@@ -1,71 +1,108 @@
-"""BLIP bit flipping under keyed noise: a bit's fate depends on (seed, subset, side, record, position) alone."""
+"""BLIP bit flipping under keyed noise: a bit's fate depends on (seed, subset, side, record, position) alone.
+
+ala flips a bit with probability prob; sch replaces it by a fair coin. Three sources of noise: a digest a bit (digest_noise: JVM
+code, expressible in SQL), digests that fill whole words of biased bits (word_noise: the same, 64 bits at a time), and Philox
+words over whole batches (counter_noise: for large data)."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgram.config import LinkConfig
+from veilgram.functions import random_words
 from veilgram.functions.hashing import unit
+from veilgram.operators.encode import bit, filter_of, n_words, packed, positions, set_bits, word_mask
 
 
-def digest_noise(pos: Column, key: Column, bf_len: int, method: str, prob: float) -> Column:
-    """Sorted positions after noise; JVM code and SQL-expressible. key: 'seed|subset|side|rec_id'.
-    ala flips a bit with probability prob; sch replaces it by a fair coin."""
+def digest_noise(pos: Column, key: Column, bf_len: int, method: str, prob: float, here=None) -> Column:
+    """Sorted positions after noise; key: 'seed|subset|side|rec_id'. here tells whether a position is set, if pos doesn't."""
     at = lambda i, what: unit(F.concat_ws("|", key, i.cast("string"), F.lit(what)))
-    here = lambda i: F.array_contains(pos, i)
+    here = here or (lambda i: F.array_contains(pos, i))
     hit = lambda i: at(i, "u") <= prob
     on = {"ala": lambda i: here(i) != hit(i), "sch": lambda i: F.when(hit(i), at(i, "c") >= 0.5).otherwise(here(i))}[method]
     return F.filter(F.sequence(F.lit(0), F.lit(bf_len - 1)), on)
 
 
+def digest_word(key: Column, w: Column, what: str) -> Column:
+    """64 random bits: the first 16 hex digits of md5(key|w|what)."""
+    h = F.md5(F.concat_ws("|", key, w.cast("string"), F.lit(what)))
+    half = lambda i: F.conv(F.substring(h, i, 8), 16, 10).cast("bigint")
+    return F.call_function("shiftleft", half(1), F.lit(32)).bitwiseOR(half(9))
+
+
+def word_noise(words: Column, key: Column, bf_len: int, method: str, prob: float) -> Column:
+    """Packed filters after noise. A word of biased bits is made from the binary digits of prob, from the last to the first: OR with a
+    random word for a digit 1, AND for a digit 0."""
+    masks = F.array(*[F.lit(word_mask(bf_len, w)).cast("bigint") for w in range(n_words(bf_len))])
+
+    def noised(x: Column, w: Column) -> Column:
+        hit = F.lit(-1 if prob >= 1 else 0).cast("bigint")
+        for i, one in reversed(list(enumerate(random_words.digits(prob) if prob < 1 else []))):
+            drawn = digest_word(key, w, str(i))
+            hit = hit.bitwiseOR(drawn) if one else hit.bitwiseAND(drawn)
+        hit = hit.bitwiseAND(F.get(masks, w))
+        if method == "ala":
+            return x.bitwiseXOR(hit)
+        return x.bitwiseAND(F.bitwise_not(hit)).bitwiseOR(digest_word(key, w, "c").bitwiseAND(hit))
+
+    return F.transform(words, noised)
+
+
 def noise_key(seed: int, subset: Column, side: Column, rec_id: Column) -> Column:
     return F.concat_ws("|", F.lit(str(seed)), subset, side, rec_id.cast("string"))
 
 
-def harden(bfs: DataFrame, bf_len: int, method: str, prob: float, seed: int) -> DataFrame:
-    """type, side, rec_id, pos, n1 -> pos and n1 noised; each side and subset has noise of its own."""
+def harden(bfs: DataFrame, bf_len: int, method: str, prob: float, seed: int, by_word: bool = False) -> DataFrame:
+    """type, side, rec_id and pos or words -> pos, words and n1 noised; each side and subset has noise of its own. by_word: word_noise."""
     key = noise_key(seed, F.col("type"), F.col("side"), F.col("rec_id"))
     # Rows are small and the digests costly: spread them, or adaptive execution packs them into one task.
     bfs = bfs.repartition(bfs.sparkSession.sparkContext.defaultParallelism, "type", "side", "rec_id")
-    noised = bfs.withColumn("pos", digest_noise(F.col("pos"), key, bf_len, method, prob))
-    return noised.withColumn("n1", F.size("pos"))
+    rows = bfs.withColumn("words", filter_of(bfs, bf_len))
+    if by_word:
+        noised = rows.withColumn("words", word_noise(F.col("words"), key, bf_len, method, prob))
+        return noised.withColumns({"pos": positions(F.col("words"), bf_len), "n1": set_bits(F.col("words"))})
+    noised = rows.withColumn("pos", digest_noise(None, key, bf_len, method, prob, lambda i: bit(F.col("words"), i)))
+    return noised.withColumns({"words": packed(F.col("pos"), bf_len), "n1": F.size("pos")})
+
+
+def word_matrix(column: pa.Array) -> np.ndarray:
+    """Filters of a batch as rows of words."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1)
+
+
+def counter_noise(words: np.ndarray, keys: list[str], bf_len: int, method: str, prob: float) -> np.ndarray:
+    """Rows of words after noise from a counter-based generator keyed by each row's string."""
+    named = random_words.keys_of(keys)
+    mask = np.array([word_mask(bf_len, w) for w in range(words.shape[1])], np.int64).view(np.uint64)
+    hit = random_words.biased(named, words.shape[1], prob) & mask
+    if method == "ala":
+        return words ^ hit
+    return (words & ~hit) | (random_words.biased(named, words.shape[1], 0.5, lane=1) & hit)
 
 
 def noisy_dice(pairs: DataFrame, cfg: LinkConfig, noise: str) -> DataFrame:
-    """pairs of a few probes (type, probe_id, cand_id, pp, cp: positions) with noisy_sim, under the noise of the linkage."""
+    """pairs of a few probes (type, probe_id, cand_id, pw, cw: filters) with noisy_sim, under the noise of the linkage."""
     if noise == "md5" or cfg.flip_prob == 0:
-        at = lambda side, pos, i: digest_noise(F.col(pos), noise_key(cfg.seed, F.col("type"), F.lit(side), F.col(i)), cfg.bf_len, cfg.flip_method, cfg.flip_prob) if cfg.flip_prob else F.col(pos)
-        rows = pairs.withColumns({"pp": at("p", "pp", "probe_id"), "cp": at("c", "cp", "cand_id")})
-        both = F.size("pp") + F.size("cp")
-        sim = F.when(both == 0, 0.0).otherwise(F.lit(2.0) * F.size(F.array_intersect("pp", "cp")) / F.when(both > 0, both))
-        return rows.withColumn("noisy_sim", sim).drop("pp", "cp")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            x, y = (np.zeros((len(rows), cfg.bf_len), np.uint8) for _ in "pc")
-            for bits, column in ((x, "pp"), (y, "cp")):
-                for r, p in enumerate(rows[column]):
-                    bits[r, np.asarray(p, dtype=np.int64)] = 1
-            x = counter_noise(x, [f"{cfg.seed}|{t}|p|{i}" for t, i in zip(rows.type, rows.probe_id, strict=True)], cfg.flip_method, cfg.flip_prob)
-            y = counter_noise(y, [f"{cfg.seed}|{t}|c|{i}" for t, i in zip(rows.type, rows.cand_id, strict=True)], cfg.flip_method, cfg.flip_prob)
-            both = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
-            yield rows.drop(columns=["pp", "cp"]).assign(noisy_sim=2.0 * (x & y).sum(1, dtype=np.int64) / np.maximum(both, 1))
-
-    rest = pairs.drop("pp", "cp")
-    return pairs.select(*rest.columns, "pp", "cp").mapInPandas(work, ", ".join(f"`{c}` {t}" for c, t in rest.dtypes) + ", noisy_sim double")
-
-
-def counter_noise(bits: np.ndarray, keys: list[str], method: str, prob: float) -> np.ndarray:
-    """0/1 rows after noise from a counter-based generator keyed by each row's string: the form for large data."""
-    out = np.empty_like(bits)
-    for r, key in enumerate(keys):
-        rng = np.random.Generator(np.random.Philox(key=int.from_bytes(hashlib.blake2b(key.encode(), digest_size=16).digest(), "little")))
-        hit = rng.random(bits.shape[1]) <= prob
-        out[r] = bits[r] ^ hit if method == "ala" else np.where(hit, rng.random(bits.shape[1]) >= 0.5, bits[r])
-    return out
+        at = lambda side, words, i: digest_noise(None, noise_key(cfg.seed, F.col("type"), F.lit(side), F.col(i)), cfg.bf_len, cfg.flip_method, cfg.flip_prob, lambda x: bit(F.col(words), x)) if cfg.flip_prob else positions(F.col(words), cfg.bf_len)
+        rows = pairs.withColumns({"pw": at("p", "pw", "probe_id"), "cw": at("c", "cw", "cand_id")})
+        both = F.size("pw") + F.size("cw")
+        sim = F.when(both == 0, 0.0).otherwise(F.lit(2.0) * F.size(F.array_intersect("pw", "cw")) / F.when(both > 0, both))
+        return rows.withColumn("noisy_sim", sim).drop("pw", "cw")
+    rest = pairs.drop("pw", "cw")
+    names = rest.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = dict(zip(b.schema.names, b.columns, strict=True))
+            kinds = cols["type"].to_pylist()
+            noised = [counter_noise(word_matrix(cols[w]), [f"{cfg.seed}|{t}|{side}|{i}" for t, i in zip(kinds, cols[who].to_pylist(), strict=True)], cfg.bf_len, cfg.flip_method, cfg.flip_prob) if b.num_rows else np.zeros((0, 1), np.uint64) for w, side, who in (("pw", "p", "probe_id"), ("cw", "c", "cand_id"))]
+            size = lambda x: np.bitwise_count(x).sum(1, dtype=np.int64)
+            sim = 2.0 * size(noised[0] & noised[1]) / np.maximum(size(noised[0]) + size(noised[1]), 1)
+            yield pa.RecordBatch.from_arrays([*[cols[c] for c in names], pa.array(sim)], names=[*names, "noisy_sim"])
+
+    return pairs.select(*names, "pw", "cw").mapInArrow(work, ", ".join(f"`{c}` {t}" for c, t in rest.dtypes) + ", noisy_sim double")

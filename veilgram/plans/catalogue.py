@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilgram.config import LinkConfig
 from veilgram.functions import similarity as sim
 from veilgram.functions.hashing import IndexedDigest, SeededTwister
-from veilgram.operators import dedupe, encode, evaluate, select, stats
+from veilgram.operators import dedupe, encode, evaluate, match, select, stats
 from veilgram.plans.lineage import fresh_folder
 from veilgram.plans.linkage import Linkage
 from veilgram.plans.sampling import voters
@@ -91,7 +91,7 @@ def bf_similarity(what: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(s: SparkSession, d: str) -> DataFrame:
         link, n = linkage(s, d), encode.n_words(BF_LEN)
         pairs = set_pairs(s, d).select("a_id", "b_id")
-        bfs = link.bfs.select("rec_id", encode.packed(F.col("pos"), BF_LEN).alias("w"), "n1")
+        bfs = link.bfs.select("rec_id", F.col("words").alias("w"), "n1")
         a, b = (bfs.select(F.col("rec_id").alias(f"{x}_id"), F.col("w").alias(f"{x}w"), F.col("n1").alias(f"{x}n")) for x in "ab")
         both = pairs.join(a, "a_id").join(b, "b_id")
         c, x = sim.bits_and(F.col("aw"), F.col("bw"), n), sim.bits_xor(F.col("aw"), F.col("bw"), n)
@@ -101,9 +101,10 @@ def bf_similarity(what: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def blip(method: str) -> Callable[[SparkSession, str], DataFrame]:
+def blip(method: str, by_word: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(s: SparkSession, d: str) -> DataFrame:
-        h = linkage(s, d, method).hardened
+        link = linkage(s, d, method)
+        h = link.hardened_by_word if by_word else link.hardened
         total = F.aggregate("pos", F.lit(0).cast("bigint"), lambda a, p: a + p)
         return h.select("type", "side", "rec_id", F.col("n1").alias("n_set"), total.alias("pos_sum"))
 
@@ -135,8 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "all_subsets": lambda s, d: evaluate.type_counts(voters(s, d).typed),
     "multi_type_counts": lambda s, d: evaluate.multi_type_counts(voters(s, d).nine.withColumn("ord", F.col("type"))),
     "k_opt": lambda s, d: stats.optimal_hash_count(voters(s, d).sample, BF_LEN),
-    "bf_positions": lambda s, d: linkage(s, d).bfs.select("rec_id", joined("pos").alias("pos")),
-    "bf_popcount": lambda s, d: linkage(s, d).bfs.select("rec_id", sim.popcount(encode.packed(F.col("pos"), BF_LEN), encode.n_words(BF_LEN)).cast("int").alias("n_set")),
+    "bf_positions": lambda s, d: linkage(s, d).bfs.select("rec_id", F.array_join(encode.positions(F.col("words"), BF_LEN).cast("array<string>"), "|").alias("pos")),
+    "bf_popcount": lambda s, d: linkage(s, d).bfs.select("rec_id", sim.popcount(F.col("words"), encode.n_words(BF_LEN)).cast("int").alias("n_set")),
     "bf_position_table": lambda s, d: encode.vocabulary(voters(s, d).records, BF_LEN, 10).select("q", joined("pos").alias("pos")),
     "bf_salted_table": lambda s, d: encode.vocabulary(voters(s, d).records, BF_LEN, 10, IndexedDigest(SALT)).select("q", joined("pos").alias("pos")),
     "bf_mt19937": lambda s, d: encode.vocabulary(voters(s, d).records, BF_LEN, 10, SeededTwister()).select("q", joined("pos").alias("pos")),
@@ -148,9 +149,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bf_jaccard": bf_similarity("jaccard"),
     "blip_ala": blip("ala"),
     "blip_sch": blip("sch"),
+    "blip_words_ala": blip("ala", by_word=True),
+    "blip_words_sch": blip("sch", by_word=True),
     "match_clean": lambda s, d: result(linkage(s, d).clean),
     "match_noisy": lambda s, d: result(linkage(s, d).noisy),
     "match_noisy_philox": lambda s, d: result(linkage(s, d, noise="philox").noisy),
+    "match_pruned": lambda s, d: result(match.block_product(*linkage(s, d).sides_once, BF_LEN)),
     "match_top5": lambda s, d: linkage(s, d).diagnostics(),
     "match_no_noise": match_no_noise,
     "people_csv": people_csv,

@@ -28,7 +28,7 @@ class Linkage:
 
     @cached_property
     def bfs(self) -> DataFrame:
-        return cut(encode.encode(self.sample, self.cfg.bf_len, self.k, self.family))
+        return cut(encode.encode_packed(self.sample, self.cfg.bf_len, self.k, self.family))
 
     @cached_property
     def sides(self) -> tuple[DataFrame, DataFrame]:
@@ -43,10 +43,20 @@ class Linkage:
 
     @cached_property
     def hardened(self) -> DataFrame:
-        """type, side, rec_id, pos, n1 under md5 noise."""
+        """type, side, rec_id, words, pos, n1 under md5 noise."""
+        c = self.cfg
+        return cut(harden.harden(self.both_sides, c.bf_len, c.flip_method, c.flip_prob, c.seed))
+
+    @property
+    def both_sides(self) -> DataFrame:
         probes, cands = self.sides
-        both = probes.select("type", F.lit("p").alias("side"), F.col("probe_id").alias("rec_id"), "pos", "n1").unionByName(cands.select("type", F.lit("c").alias("side"), F.col("cand_id").alias("rec_id"), "pos", "n1"))
-        return cut(harden.harden(both, self.cfg.bf_len, self.cfg.flip_method, self.cfg.flip_prob, self.cfg.seed))
+        return probes.select("type", F.lit("p").alias("side"), F.col("probe_id").alias("rec_id"), "words", "n1").unionByName(cands.select("type", F.lit("c").alias("side"), F.col("cand_id").alias("rec_id"), "words", "n1"))
+
+    @property
+    def hardened_by_word(self) -> DataFrame:
+        """The same under md5 noise of 64 bits at a time."""
+        c = self.cfg
+        return harden.harden(self.both_sides, c.bf_len, c.flip_method, c.flip_prob, c.seed, by_word=True)
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -58,11 +68,11 @@ class Linkage:
         if c.flip_prob == 0:  # nothing flips
             return self.clean
         if self.noise == "philox":
-            return match.block_product(*self.sides_once, c.bf_len, (c.flip_method, c.flip_prob, c.seed))
+            return match.block_product(*self.sides_once, c.bf_len, (c.flip_method, c.flip_prob, c.seed)).drop("compared")
         h = self.hardened
-        probes = h.filter("side = 'p'").select("type", F.col("rec_id").alias("probe_id"), "pos", "n1")
-        cands = h.filter("side = 'c'").select("type", F.col("rec_id").alias("cand_id"), "pos", "n1")
-        return match.block_product(probes, cands, c.bf_len)
+        probes = h.filter("side = 'p'").select("type", F.col("rec_id").alias("probe_id"), "words", "n1")
+        cands = h.filter("side = 'c'").select("type", F.col("rec_id").alias("cand_id"), "words", "n1")
+        return match.block_product(probes, cands, c.bf_len).drop("compared")
 
     @cached_property
     def results(self) -> DataFrame:
@@ -77,15 +87,15 @@ class Linkage:
         similarity under noise."""
         from pyspark.sql import Window
 
-        probes, cands = self.sides
+        probes, cands = self.sides_once
         first = self.sample.filter("type <> 'b'").withColumn("i", F.row_number().over(Window.partitionBy("type").orderBy("ord"))).filter(F.col("i") <= n_probes)
         few = probes.join(first.select("type", F.col("rec_id").alias("probe_id")), ["type", "probe_id"], "left_semi")
-        best = match.top_matches(match.pairs(few, cands, self.cfg.bf_len), k)
+        best = match.top_product(few, cands, self.cfg.bf_len, k)
         sets = self.sample.select("rec_id", "qs").dropDuplicates(["rec_id"])
         p = sets.select(F.col("rec_id").alias("probe_id"), F.col("qs").alias("pq"))
         c = sets.select(F.col("rec_id").alias("cand_id"), F.col("qs").alias("cq"))
-        filters = self.bfs.select("rec_id", "pos", "n1")
-        pf = filters.withColumnsRenamed({"rec_id": "probe_id", "pos": "pp", "n1": "probe_bits"})
-        cf = filters.withColumnsRenamed({"rec_id": "cand_id", "pos": "cp", "n1": "cand_bits"})
+        filters = self.bfs.select("rec_id", "words", "n1")
+        pf = filters.withColumnsRenamed({"rec_id": "probe_id", "words": "pw", "n1": "probe_bits"})
+        cf = filters.withColumnsRenamed({"rec_id": "cand_id", "words": "cw", "n1": "cand_bits"})
         out = harden.noisy_dice(best.join(pf, "probe_id").join(cf, "cand_id"), self.cfg, self.noise).join(p, "probe_id").join(c, "cand_id")
         return out.select("type", "probe_id", "cand_id", "place", "sim", F.size("pq").alias("probe_grams"), F.size("cq").alias("cand_grams"), F.size(F.array_intersect("pq", "cq")).alias("common_grams"), "probe_bits", "cand_bits", "noisy_sim")

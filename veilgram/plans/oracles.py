@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veilgram.config import OUTCOMES, SUBSET_TYPES
+from veilgram.functions import random_words
 from veilgram.plans.catalogue import BF_LEN, PROB, SALT, SEED
 
 STEPS = {
@@ -72,6 +73,58 @@ def matched(source: str) -> str:
 
 
 STEPS["noised_ala"], STEPS["noised_sch"] = noised("ala"), noised("sch")
+ALL = (1 << 64) - 1
+FULL = -(-BF_LEN // 64)
+STEPS["side_words"] = (
+    f"SELECT type, side, rec_id, w, coalesce((SELECT bit_or(1::UBIGINT << (p % 64)) FROM (SELECT unnest(pos) AS p) WHERE p // 64 = w), 0::UBIGINT) AS x FROM side, (SELECT CAST(unnest(range(0, {FULL})) AS INTEGER) AS w)"
+)
+
+
+def flipped(method: str, hit: str, coin: str) -> str:
+    """A word x after noise."""
+    return f"xor(x, {hit})" if method == "ala" else f"(x & xor({hit}, {ALL}::UBIGINT)) | ({coin} & {hit})"
+
+
+def biased(drawn) -> str:
+    """A word of bits that are 1 with probability PROB, from random words drawn(digit): ORs and ANDs by PROB's binary digits."""
+    hit = "0::UBIGINT"
+    for i, one in reversed(list(enumerate(random_words.digits(PROB)))):
+        hit = f"({hit} {'|' if one else '&'} {drawn(i)})"
+    return hit
+
+
+def bits_of(source: str, columns: str) -> str:
+    """Sorted positions of the set bits of noised words."""
+    return f"SELECT {columns}, list_sort(flatten(list([CAST(64 * w + b AS INTEGER) FOR b IN range(64) IF (noised >> b) & 1 = 1]))) AS pos FROM ({source}) GROUP BY ALL"
+
+
+def by_digest(method: str) -> str:
+    drawn = lambda what: f"CAST('0x' || substr(md5('{SEED}|' || type || '|' || side || '|' || rec_id || '|' || CAST(w AS VARCHAR) || '|{what}'), 1, 16) AS UBIGINT)"
+    return bits_of(f"SELECT type, side, rec_id, w, {flipped(method, biased(drawn), drawn('c'))} AS noised FROM side_words", "type, side, rec_id")
+
+
+def by_philox(method: str) -> str:
+    """Blocks of four words for each digit and four words of a filter, the rounds one after the other."""
+    wide, low = "::UHUGEINT", f"{ALL}::UHUGEINT"
+    start = "SELECT type, side, rec_id, lane, digit, g, digit::UBIGINT AS a, g::UBIGINT AS b, lane::UBIGINT AS c, 0::UBIGINT AS d, k0, k1 FROM keys, draws"
+    rows = start
+    for r in range(random_words.ROUNDS):
+        key = [f"(((k{i}{wide} + {step * r % (1 << 64)}{wide}) & {low})::UBIGINT)" for i, step in enumerate(random_words.STEPS)]
+        p, q = (f"({x}{wide} * {m}{wide})" for x, m in zip("ac", random_words.MULTIPLIERS, strict=True))
+        top, bottom = (lambda x: f"(({x} >> 64)::UBIGINT)"), (lambda x: f"(({x} & {low})::UBIGINT)")
+        rows = f"SELECT * REPLACE (xor(xor({top(q)}, b), {key[0]}) AS a, {bottom(q)} AS b, xor(xor({top(p)}, d), {key[1]}) AS c, {bottom(p)} AS d) FROM ({rows})"
+    n = len(random_words.digits(PROB))
+    words = f"SELECT type, side, rec_id, lane, digit, CAST(4 * g + t AS INTEGER) AS w, [a, b, c, d][t + 1] AS r FROM ({rows}), (SELECT unnest(range(4)) AS t) WHERE 4 * g + t < {FULL}"
+    listed = f"SELECT type, side, rec_id, w, list(r ORDER BY digit) FILTER (lane = 0) AS hits, any_value(r) FILTER (lane = 1) AS coin FROM ({words}) GROUP BY ALL"
+    noised = f"SELECT type, side, rec_id, w, {flipped(method, biased(lambda i: f'hits[{i + 1}]'), 'coin')} AS noised FROM ({listed}) JOIN side_words USING (type, side, rec_id, w)"
+    return (
+        f"WITH keys AS (SELECT type, side, rec_id, CAST('0x' || substr(h, 1, 16) AS UBIGINT) AS k0, CAST('0x' || substr(h, 17, 16) AS UBIGINT) AS k1 FROM (SELECT type, side, rec_id, md5('{SEED}|' || type || '|' || side || '|' || rec_id) AS h FROM side)), "
+        f"draws AS (SELECT lane, digit, g FROM (SELECT 0 AS lane, unnest(range({n})) AS digit UNION ALL SELECT 1, 0), (SELECT unnest(range({-(-FULL // 4)})) AS g)) " + bits_of(noised, "type, side, rec_id")
+    )
+
+
+STEPS["words_ala"], STEPS["words_sch"], STEPS["philox_ala"] = by_digest("ala"), by_digest("sch"), by_philox("ala")
+STEPS["philox_m"] = matched("philox_ala")
 STEPS["clean_m"], STEPS["noisy_m"] = matched("side"), matched("noised_ala")
 BF_PAIRS = "SELECT a_id, b_id, x.pos AS aq, y.pos AS bq FROM pairs JOIN bfs x ON x.rec_id = a_id JOIN bfs y ON y.rec_id = b_id"
 TEXT = "array_to_string(pos, '|') AS pos"
@@ -103,6 +156,9 @@ FINAL = {
     "bf_hamming": f"SELECT a_id, b_id, 1.0::DOUBLE - (len(aq) + len(bq) - 2 * {SIM})::DOUBLE / {BF_LEN} AS sim FROM ({BF_PAIRS})",
     "bf_jaccard": f"SELECT a_id, b_id, greatest(0.0::DOUBLE, 1.0::DOUBLE - 2.0::DOUBLE * (len(aq) + len(bq) - 2 * {SIM}) / {BF_LEN}) AS sim FROM ({BF_PAIRS})",
     **{f"blip_{m}": f"SELECT type, side, rec_id, CAST(len(pos) AS INTEGER) AS n_set, CAST(coalesce(list_sum(pos), 0) AS BIGINT) AS pos_sum FROM noised_{m}" for m in ("ala", "sch")},
+    **{f"blip_words_{m}": f"SELECT type, side, rec_id, CAST(len(pos) AS INTEGER) AS n_set, CAST(coalesce(list_sum(pos), 0) AS BIGINT) AS pos_sum FROM words_{m}" for m in ("ala", "sch")},
+    "match_noisy_philox": "SELECT type, probe_id, best, ties, hit, outcome FROM philox_m",
+    "match_pruned": "SELECT type, probe_id, best, ties, hit, outcome FROM clean_m",
     "match_clean": "SELECT type, probe_id, best, ties, hit, outcome FROM clean_m",
     "match_no_noise": "SELECT type, probe_id, best, ties, hit, outcome FROM clean_m",
     "people_csv": "SELECT rec_id, attr1, attr2, attr3, complete FROM norm WHERE ord % 7 <> 0",
