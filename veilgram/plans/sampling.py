@@ -49,12 +49,12 @@ class Sampling:
 
     @cached_property
     def subsets(self) -> dict[str, DataFrame]:
-        n = self.cfg.n_subset
-        return select.by_frequency(self.profile, n) | select.by_length(self.profile, n)
+        return {c: self.nine.filter(F.col("type") == c) for c in (*select.KEYS, "q_r")}
 
     @cached_property
     def nine(self) -> DataFrame:
-        return cut(select.union(list(self.subsets.values())).select("rec_id", "ord", "type"))
+        """All nine subsets, from one scan of the profile."""
+        return cut(select.selected(self.profile, self.cfg.n_subset).select("rec_id", "ord", "type"))
 
     @cached_property
     def order(self) -> DataFrame:
