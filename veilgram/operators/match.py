@@ -177,14 +177,14 @@ def bound(a: np.ndarray, b: np.ndarray) -> float:
     return 2.0 * low[-1] / (low[-1] + high[0])
 
 
-def compare(found: Best | Top, bits: np.ndarray, n1: np.ndarray, ids: np.ndarray) -> None:
+def compare(found: Best | Top, bits: np.ndarray, n1: np.ndarray, ids: np.ndarray, n_probes: int, n_cands: int) -> None:
     """Candidates by set bits in blocks, visited for each block of probes by their bound, until it is below what the probes have.
     Exact: a bound is at least each quotient that it stands for, and equal ones are still visited."""
     order = np.argsort(n1, kind="stable")
     p = found.probes
-    cuts = [order[c : c + CANDS] for c in range(0, len(order), CANDS)]
-    for a in range(0, len(p.ids), PROBES):
-        b = min(a + PROBES, len(p.ids))
+    cuts = [order[c : c + n_cands] for c in range(0, len(order), n_cands)]
+    for a in range(0, len(p.ids), n_probes):
+        b = min(a + n_probes, len(p.ids))
         for most, c in sorted(((bound(p.n1[a:b], n1[at]), c) for c, at in enumerate(cuts)), reverse=True):
             if most < found.floor(a, b):
                 break
@@ -228,7 +228,7 @@ def _pass(probes: DataFrame, cands: DataFrame, bf_len: int, noise: Noise | None,
         if noise:
             words = counter_noise(words, [f"{noise[2]}|{code}|p|{r}" for r in rows.probe_id], bf_len, *noise[:2])
         by_type[code] = Probes(code, rows.probe_id.to_numpy(), words, bf_len)
-    sent = probes.sparkSession.sparkContext.broadcast(by_type)
+    sent, blocks = probes.sparkSession.sparkContext.broadcast(by_type), (PROBES, CANDS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Best | Top] = {}
@@ -244,7 +244,7 @@ def _pass(probes: DataFrame, cands: DataFrame, bf_len: int, noise: Noise | None,
                     if noise:
                         words = counter_noise(words, [f"{noise[2]}|{code}|c|{r}" for r in ids[at]], bf_len, *noise[:2])
                     one = found.get(code) or found.setdefault(code, kind(sent.value[code].ready(), k))
-                    compare(one, unpacked(words, bf_len), np.bitwise_count(words).sum(1, dtype=np.int64), ids[at])
+                    compare(one, unpacked(words, bf_len), np.bitwise_count(words).sum(1, dtype=np.int64), ids[at], *blocks)
         for one in found.values():
             yield one.batch()
 

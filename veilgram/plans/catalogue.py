@@ -58,6 +58,20 @@ def people_quarantined(s: SparkSession, d: str) -> DataFrame:
     return people_file(s, d)[1].select(F.trim(F.regexp_replace(people.BAD, "[\r\n]", "")).alias("line"))
 
 
+def people_ordered(scan: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    """Numbers of records in several files, of which the first by path is the smallest; second words hold a line break and quotes."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = fresh_folder(s, "people")
+        rows = people.voters(s, d).select(F.col("rec_id").alias("id"), F.concat("attr1", F.lit('\n"'), "attr2").alias("words"), "status_code", (F.col("ord") % 10 != 0).cast("int").alias("k"), "ord")
+        rows = rows.repartitionByRange("ord").sortWithinPartitions("k", "ord").drop("ord")
+        rows.write.partitionBy("k").csv(path, header=True, **people.QUOTES)
+        found = scan(s, f"{path}/*")
+        return found.select(F.col("id").alias("rec_id"), "ord", F.replace("words", F.lit("\n"), F.lit("/")).alias("words"), "status_code")
+
+    return run
+
+
 def sample_file(write: Callable, read: Callable) -> Callable[[SparkSession, str], DataFrame]:
     """The typed sample written, read back and checked for its sizes."""
 
@@ -159,6 +173,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_no_noise": match_no_noise,
     "people_csv": people_csv,
     "people_quarantined": people_quarantined,
+    "people_ordered": people_ordered(people.scan),
+    "people_ordered_split": people_ordered(people.scan_split),
     "sample_csv": sample_file(samples.write_csv, samples.read_csv),
     "sample_parquet": sample_file(samples.write, samples.read),
     "linkage_report": lambda s, d: linkage(s, d).tally,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from veilgram.config import OUTCOMES, SUBSET_TYPES
 from veilgram.functions import random_words
+from veilgram.functions.hashing import SeededTwister
 from veilgram.plans.catalogue import BF_LEN, PROB, SALT, SEED
 
 STEPS = {
@@ -127,6 +130,8 @@ STEPS["words_ala"], STEPS["words_sch"], STEPS["philox_ala"] = by_digest("ala"),
 STEPS["philox_m"] = matched("philox_ala")
 STEPS["clean_m"], STEPS["noisy_m"] = matched("side"), matched("noised_ala")
 BF_PAIRS = "SELECT a_id, b_id, x.pos AS aq, y.pos AS bq FROM pairs JOIN bfs x ON x.rec_id = a_id JOIN bfs y ON y.rec_id = b_id"
+#: Positions of all pairs of letters by the standard library's generator.
+MT = ", ".join(f"('{q}', {sorted(set(SeededTwister().draws(q, BF_LEN, 10)))})" for q in (a + b for a in ascii_lowercase for b in ascii_lowercase))
 TEXT = "array_to_string(pos, '|') AS pos"
 FINAL = {
     "voters_normalised": "SELECT rec_id, attr1, attr2, attr3, complete FROM norm",
@@ -157,6 +162,8 @@ FINAL = {
     "bf_jaccard": f"SELECT a_id, b_id, greatest(0.0::DOUBLE, 1.0::DOUBLE - 2.0::DOUBLE * (len(aq) + len(bq) - 2 * {SIM}) / {BF_LEN}) AS sim FROM ({BF_PAIRS})",
     **{f"blip_{m}": f"SELECT type, side, rec_id, CAST(len(pos) AS INTEGER) AS n_set, CAST(coalesce(list_sum(pos), 0) AS BIGINT) AS pos_sum FROM noised_{m}" for m in ("ala", "sch")},
     **{f"blip_words_{m}": f"SELECT type, side, rec_id, CAST(len(pos) AS INTEGER) AS n_set, CAST(coalesce(list_sum(pos), 0) AS BIGINT) AS pos_sum FROM words_{m}" for m in ("ala", "sch")},
+    **dict.fromkeys(("people_ordered", "people_ordered_split"), "SELECT rec_id, row_number() OVER (ORDER BY ord % 10 <> 0, ord) - 1 AS ord, attr1 || '/\"' || attr2 AS words, status_code FROM voters"),
+    "bf_mt19937": f"SELECT q, {TEXT} FROM (SELECT DISTINCT q FROM rq) JOIN (VALUES {MT}) m(q, pos) USING (q)",
     "match_noisy_philox": "SELECT type, probe_id, best, ties, hit, outcome FROM philox_m",
     "match_pruned": "SELECT type, probe_id, best, ties, hit, outcome FROM clean_m",
     "match_clean": "SELECT type, probe_id, best, ties, hit, outcome FROM clean_m",

@@ -4,24 +4,72 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilgram.functions import text
+from veilgram.plans.lineage import cut
 
 BAD = "_corrupt_record"
+QUOTES = {"quote": '"', "escape": '"'}
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings plus ord (file order) and _corrupt_record (set on short and long rows).
-    Undecodable bytes are dropped. A gzip file is one partition; order holds within a file, and files come in the
-    order of their scan partitions."""
-    header = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, BAD]])
-    raw = spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
-    clean = [F.regexp_replace(F.col(f"`{c}`"), "�", "").alias(c) for c in header]
-    return raw.select(F.monotonically_increasing_id().alias("ord"), *clean, BAD)
+    """All columns as strings plus ord (whole numbers without gaps: files by path, records as in the file) and _corrupt_record (set
+    on short and long rows). Undecodable bytes are dropped. A file is one task, gzipped or not; scan_split() has a task a range."""
+    header, schema = _header(spark, path)
+    raw = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, multiLine=True, **QUOTES)
+    # A file's records lie in one partition side by side, so their numbers follow each other; files are counted up by path.
+    raw = raw.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.monotonically_increasing_id()})
+    files = raw.groupBy("_file").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    return _ordered(raw, files, ["_file"], F.col("_row") - F.col("_first"), header)
+
+
+def scan_split(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files that are not gzipped, with a task for each range of a file, though records may hold line breaks in quotes.
+
+    Lines are read by range. A line whose file has an even number of quotes before it begins a record: quotes are counted by
+    range, the counts added up over the ranges before, and within a range over the lines before. The records that
+    begin in each range are numbered after those of the ranges before, so lines of a record that a border cuts come to one
+    number, and are put together; fields are read from each record. Lines end with \\n, or \\r\\n; a quote that nothing closes
+    makes one record of the rest of its file, as in scan() (there with the last line's end)."""
+    header, schema = _header(spark, path)
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_range"), F.monotonically_increasing_id().alias("_line"), "value"
+    )
+    blank = F.col("value").isin("", "\r")
+    lines = lines.withColumn("_quotes", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long"))
+    in_file, in_range = Window.partitionBy("_file").orderBy("_range"), Window.partitionBy("_file", "_range").orderBy("_line")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = lines.groupBy("_file", "_range").agg(F.sum("_quotes").alias("_n"))  # a row a range
+    ranges = ranges.select("_file", "_range", before("_n", in_file).alias("_quotes_before"))
+    outside = (F.col("_quotes_before") + before("_quotes", in_range)) % 2 == 0
+    lines = lines.join(ranges, ["_file", "_range"]).withColumn("_outside", outside).filter(~(F.col("_outside") & blank))
+    lines = cut(lines.select("_file", "_range", "_line", "value", F.col("_outside").cast("long").alias("_begins")))  # read twice
+    starts = lines.groupBy("_file", "_range").agg(F.sum("_begins").alias("_n"))
+    files = starts.groupBy("_file").agg((F.sum("_n") - 1).alias("_n"))  # less the header
+    starts = starts.select("_file", "_range", before("_n", in_file).alias("_begun"))
+    number = F.col("_begun") + F.sum("_begins").over(in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lines = lines.join(starts, ["_file", "_range"]).withColumn("_record", number)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_range", "_line", "value"))), lambda x: x["value"]), "\n")
+    records = lines.groupBy("_file", "_record").agg(F.regexp_replace(text, "\r$", "").alias("_text")).filter("_record > 1")
+    ddl = ", ".join(f"`{f.name}` string" for f in schema)
+    fields = F.from_csv("_text", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "multiLine": "true", **QUOTES})
+    return _ordered(records.withColumn("_fields", fields).select("_file", "_record", "_fields.*"), files, ["_file"], F.col("_record") - 2, header)
+
+
+def _header(spark: SparkSession, path: str) -> tuple[list[str], T.StructType]:
+    header = spark.read.csv(path, header=True, multiLine=True, **QUOTES).columns
+    return header, T.StructType([T.StructField(c, T.StringType()) for c in [*header, BAD]])
+
+
+def _ordered(raw: DataFrame, files: DataFrame, key: list[str], place: F.Column, header: list[str]) -> DataFrame:
+    """raw with ord: the records of the files before by path, and a record's place in its own."""
+    before = Window.partitionBy().orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)  # over the files, not their records
+    files = files.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    clean = [F.regexp_replace(F.col(f"`{c}`"), "\ufffd", "").alias(c) for c in header]
+    return raw.join(files, key).select((F.col("_before") + place).alias("ord"), *clean, BAD)
 
 
 def people(raw: DataFrame, id_col: int, status_col: int, attrs: Sequence[int]) -> tuple[DataFrame, DataFrame]:
