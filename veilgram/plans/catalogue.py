@@ -23,8 +23,14 @@ def joined(c: str = "qs") -> F.Column:
     return F.array_join(F.col(c).cast("array<string>"), "|")
 
 
-def linkage(spark: SparkSession, d: str, method: str = METHOD, noise: str = "md5") -> Linkage:
-    return Linkage(voters(spark, d).sample, LinkConfig(bf_len=BF_LEN, flip_method=method, flip_prob=PROB, seed=SEED), noise)
+def linkage(spark: SparkSession, d: str, method: str = METHOD, noise: str = "md5", ratio: float = 1.0) -> Linkage:
+    return Linkage(voters(spark, d).sample, LinkConfig(bf_len=BF_LEN, k_ratio=ratio, flip_method=method, flip_prob=PROB, seed=SEED), noise)
+
+
+def trigrams(s: SparkSession, d: str) -> DataFrame:
+    """Sets for q = 3; values that are shorter count as missing, so that no record is without grams."""
+    norm = people.normalised(people.voters(s, d), min_len=3)
+    return people.qgram_rows(norm, 3).select("rec_id", joined().alias("qs"))
 
 
 def rec_upsert(s: SparkSession, d: str) -> DataFrame:
@@ -151,10 +157,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "multi_type_counts": lambda s, d: evaluate.multi_type_counts(voters(s, d).nine.withColumn("ord", F.col("type"))),
     "k_opt": lambda s, d: stats.optimal_hash_count(voters(s, d).sample, BF_LEN),
     "bf_positions": lambda s, d: linkage(s, d).bfs.select("rec_id", F.array_join(encode.positions(F.col("words"), BF_LEN).cast("array<string>"), "|").alias("pos")),
+    **{f"bf_popcount_{name}": lambda s, d, r=ratio: linkage(s, d, ratio=r).bfs.select("rec_id", F.col("n1").alias("n_set")) for name, ratio in (("half", 0.5), ("double", 2.0))},
+    **{f"match_clean_{name}": lambda s, d, r=ratio: result(linkage(s, d, ratio=r).clean) for name, ratio in (("half", 0.5), ("double", 2.0))},
     "bf_popcount": lambda s, d: linkage(s, d).bfs.select("rec_id", sim.popcount(F.col("words"), encode.n_words(BF_LEN)).cast("int").alias("n_set")),
     "bf_position_table": lambda s, d: encode.vocabulary(voters(s, d).records, BF_LEN, 10).select("q", joined("pos").alias("pos")),
     "bf_salted_table": lambda s, d: encode.vocabulary(voters(s, d).records, BF_LEN, 10, IndexedDigest(SALT)).select("q", joined("pos").alias("pos")),
     "bf_mt19937": lambda s, d: encode.vocabulary(voters(s, d).records, BF_LEN, 10, SeededTwister()).select("q", joined("pos").alias("pos")),
+    "bf_mt19937_sha1": lambda s, d: encode.vocabulary(voters(s, d).records, BF_LEN, 10, SeededTwister("sha1", SALT)).select("q", joined("pos").alias("pos")),
+    "trigram_sets": trigrams,
     "qgram_dice": set_similarity(sim.qgram_dice),
     "qgram_jaccard": set_similarity(sim.qgram_jaccard),
     "qgram_hamming": set_similarity(sim.qgram_hamming),
@@ -178,5 +188,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sample_csv": sample_file(samples.write_csv, samples.read_csv),
     "sample_parquet": sample_file(samples.write, samples.read),
     "linkage_report": lambda s, d: linkage(s, d).tally,
+    "linkage_report_text": lambda s, d: match.to_report(linkage(s, d, noise="philox").tally),
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import product
 from string import ascii_lowercase
 
 from veilgram.config import OUTCOMES, SUBSET_TYPES
@@ -43,13 +44,15 @@ def vocab(k: str, source: str = "(SELECT DISTINCT q FROM rq)", salt: str = "") -
 
 
 STEPS["sampled"] = "SELECT DISTINCT rec_id FROM typed"
-STEPS["voc"] = vocab("(SELECT k_opt FROM k)")
-STEPS["bfs"] = "SELECT rec_id, list_sort(list(DISTINCT p)) AS pos FROM (SELECT rec_id, unnest(pos) AS p FROM rq JOIN sampled USING (rec_id) JOIN voc USING (q)) GROUP BY rec_id"
+for name, ratio in (("", 1.0), ("_half", 0.5), ("_double", 2.0)):
+    STEPS[f"voc{name}"] = vocab(f"(SELECT CAST(floor({ratio} * k_opt) AS INTEGER) FROM k)")
+    STEPS[f"bfs{name}"] = f"SELECT rec_id, list_sort(list(DISTINCT p)) AS pos FROM (SELECT rec_id, unnest(pos) AS p FROM rq JOIN sampled USING (rec_id) JOIN voc{name} USING (q)) GROUP BY rec_id"
 STEPS["codes"] = "SELECT unnest([" + ", ".join(f"'{t}'" for t in SUBSET_TYPES) + "]) AS type"
-STEPS["side"] = (
-    "SELECT type, 'p' AS side, rec_id, pos FROM typed JOIN bfs USING (rec_id) WHERE type <> 'b' UNION ALL SELECT type, 'c', rec_id, pos FROM typed JOIN bfs USING (rec_id) WHERE type <> 'b' "
-    "UNION ALL SELECT codes.type, 'c', rec_id, pos FROM typed JOIN bfs USING (rec_id), codes WHERE typed.type = 'b'"
-)
+for name in ("", "_half", "_double"):
+    STEPS[f"side{name}"] = (
+        f"SELECT type, 'p' AS side, rec_id, pos FROM typed JOIN bfs{name} USING (rec_id) WHERE type <> 'b' UNION ALL SELECT type, 'c', rec_id, pos FROM typed JOIN bfs{name} USING (rec_id) WHERE type <> 'b' "
+        f"UNION ALL SELECT codes.type, 'c', rec_id, pos FROM typed JOIN bfs{name} USING (rec_id), codes WHERE typed.type = 'b'"
+    )
 STEPS["pairs"] = "SELECT a.rec_id AS a_id, b.rec_id AS b_id, a.qs AS aq, b.qs AS bq FROM recs a JOIN recs b ON a.qs[1] = b.qs[1] AND a.ord < b.ord"
 SIM = "len(list_intersect(aq, bq))"
 UNION = f"(len(aq) + len(bq) - {SIM})"
@@ -128,11 +131,24 @@ def by_philox(method: str) -> str:
 
 STEPS["words_ala"], STEPS["words_sch"], STEPS["philox_ala"] = by_digest("ala"), by_digest("sch"), by_philox("ala")
 STEPS["philox_m"] = matched("philox_ala")
+STEPS["clean_half"], STEPS["clean_double"] = matched("side_half"), matched("side_double")
 STEPS["clean_m"], STEPS["noisy_m"] = matched("side"), matched("noised_ala")
 BF_PAIRS = "SELECT a_id, b_id, x.pos AS aq, y.pos AS bq FROM pairs JOIN bfs x ON x.rec_id = a_id JOIN bfs y ON y.rec_id = b_id"
-#: Positions of all pairs of letters by the standard library's generator.
-MT = ", ".join(f"('{q}', {sorted(set(SeededTwister().draws(q, BF_LEN, 10)))})" for q in (a + b for a in ascii_lowercase for b in ascii_lowercase))
+def twister_table(family: SeededTwister) -> str:
+    """Positions of all pairs of letters by the standard library's generator."""
+    rows = (f"('{q}', {sorted(set(family.draws(q, BF_LEN, 10)))})" for q in map("".join, product(ascii_lowercase, repeat=2)))
+    return f"SELECT q, array_to_string(pos, '|') AS pos FROM (SELECT DISTINCT q FROM rq) JOIN (VALUES {', '.join(rows)}) m(q, pos) USING (q)"
+
+
 TEXT = "array_to_string(pos, '|') AS pos"
+def report_text() -> str:
+    metrics = ("og_bf_dice", "blip_bf_dice")
+    cell = lambda m: f"'{{' || string_agg(chr(39) || outcome || chr(39) || ': ' || n, ', ' ORDER BY outcome) FILTER (metric = '{m}') || '}}' AS {m}"
+    every = "SELECT type, metric, outcome FROM codes, (SELECT unnest(['og_bf_dice', 'blip_bf_dice']) AS metric), (SELECT unnest([" + ", ".join(f"'{o}'" for o in OUTCOMES) + "]) AS outcome)"
+    found = "SELECT type, metric, outcome, count(*) AS n FROM (SELECT *, 'og_bf_dice' AS metric FROM clean_m UNION ALL SELECT *, 'blip_bf_dice' FROM philox_m) GROUP BY ALL"
+    return f"SELECT type AS id, {', '.join(map(cell, metrics))} FROM (SELECT type, metric, outcome, coalesce(n, 0) AS n FROM ({every}) LEFT JOIN ({found}) USING (type, metric, outcome)) GROUP BY type"
+
+
 FINAL = {
     "voters_normalised": "SELECT rec_id, attr1, attr2, attr3, complete FROM norm",
     "missing_values": "SELECT count(*) FILTER (NOT complete) AS n_missing, count(*) AS n_active FROM norm",
@@ -163,7 +179,12 @@ FINAL = {
     **{f"blip_{m}": f"SELECT type, side, rec_id, CAST(len(pos) AS INTEGER) AS n_set, CAST(coalesce(list_sum(pos), 0) AS BIGINT) AS pos_sum FROM noised_{m}" for m in ("ala", "sch")},
     **{f"blip_words_{m}": f"SELECT type, side, rec_id, CAST(len(pos) AS INTEGER) AS n_set, CAST(coalesce(list_sum(pos), 0) AS BIGINT) AS pos_sum FROM words_{m}" for m in ("ala", "sch")},
     **dict.fromkeys(("people_ordered", "people_ordered_split"), "SELECT rec_id, row_number() OVER (ORDER BY ord % 10 <> 0, ord) - 1 AS ord, attr1 || '/\"' || attr2 AS words, status_code FROM voters"),
-    "bf_mt19937": f"SELECT q, {TEXT} FROM (SELECT DISTINCT q FROM rq) JOIN (VALUES {MT}) m(q, pos) USING (q)",
+    "bf_mt19937": twister_table(SeededTwister()),
+    "bf_mt19937_sha1": twister_table(SeededTwister("sha1", SALT)),
+    **{f"bf_popcount_{name}": f"SELECT rec_id, CAST(len(pos) AS INTEGER) AS n_set FROM bfs_{name}" for name in ("half", "double")},
+    **{f"match_clean_{name}": f"SELECT type, probe_id, best, ties, hit, outcome FROM clean_{name}" for name in ("half", "double")},
+    "trigram_sets": "SELECT rec_id, array_to_string(list_sort(list(DISTINCT v[i:i+2])), '|') AS qs FROM (SELECT rec_id, v, unnest(range(1, length(v) - 1)) AS i FROM (SELECT rec_id, unnest([attr1, attr2, attr3]) AS v FROM norm WHERE length(attr1) >= 3 AND length(attr2) >= 3 AND length(attr3) >= 3)) GROUP BY rec_id",
+    "linkage_report_text": report_text(),
     "match_noisy_philox": "SELECT type, probe_id, best, ties, hit, outcome FROM philox_m",
     "match_pruned": "SELECT type, probe_id, best, ties, hit, outcome FROM clean_m",
     "match_clean": "SELECT type, probe_id, best, ties, hit, outcome FROM clean_m",
