@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from veilgram.llm import common
 
-PAGES, STEPS, RATE, DECAY, SEED, BATCH_NODES, MAX_DEPTH = 400, 150, 0.08, 1e-4, 11, 20000, 512
+PAGES, STEPS, RATE, DECAY, SEED, BATCH_NODES, MAX_DEPTH = 700, 150, 0.08, 1e-4, 11, 20000, 512
 
 #: HTML elements by kind (fixed values).
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -62,7 +62,9 @@ HINTS = {
     "body": "article content main post entry story text body page-content maincontent".split(),
 }
 WORD_HINT = {w: k for k, words in enumerate(HINTS.values()) for w in words}
-N_FEATURES = len(TAGS) + len(HINTS) + 14
+#: Tags that tell what is in them; pages without any, and without hints, have features of their own, from UNMARKED on.
+TELLING_TAGS = set("article main section nav header footer aside form".split())
+UNMARKED, N_FEATURES = len(TAGS) + len(HINTS), len(TAGS) + len(HINTS) + 9 + 14
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|)|["'])*+)>""")
 #: For what follows a tag whose values' quotes swallow every > up to the end of the page.
@@ -146,6 +148,7 @@ def _element(tag: str, attrs: str, depth: int) -> tuple[np.ndarray, bool, str]:
         v[TAGS.index(tag)] = 1
     found, hidden, mark = _hints(attrs)
     v[[len(TAGS) + k for k in found]] = 1
+    v[UNMARKED + 8] = not found and tag in ("div", "section", "td")
     v[-1], v[-2] = 1, min(depth, 10) / 10
     return v, hidden, mark
 
@@ -167,7 +170,7 @@ def parse(source: str, known: dict | None = None) -> Page:
     known = {} if known is None else known
     page = Page([-1], [0], [_element("html", "", 0)[0]], {}, [""])
     stack, held, at, link, in_link, skip = [("html", 0)], [], 0, 0, 0, 0
-    opened, markup, n = Counter(), Markup(source), len(source)
+    opened, markup, n, telling = Counter(), Markup(source), len(source), False
 
     def flush() -> None:
         nonlocal held, link
@@ -241,6 +244,7 @@ def parse(source: str, known: dict | None = None) -> Page:
             if what not in known:
                 known[what] = _element(*what)
             v, hidden, mark = known[what]
+            telling = telling or tag in TELLING_TAGS or bool(v[len(TAGS) : UNMARKED].any())
             page.parent.append(up)
             page.depth.append(page.depth[up] + 1)
             page.feats.append(v)
@@ -250,9 +254,27 @@ def parse(source: str, known: dict | None = None) -> Page:
             if (hidden or tag == "head") and not skip:
                 skip = len(stack)
     flush()
+    if not telling:
+        page.feats = [_unmarked(v, page.text.get(i), i) for i, v in enumerate(page.feats)]
     return page
 
 
+def _unmarked(v: np.ndarray, text: str | None, i: int) -> np.ndarray:
+    """A node's features on a page that marks nothing: what a segment's text says counts for more there."""
+    v, tail = v.copy(), N_FEATURES - 14
+    if text is None:
+        v[UNMARKED] = 1
+        v[UNMARKED + 1] = i == 0
+    else:
+        v[UNMARKED + 2] = 1
+        v[UNMARKED + 3] = v[tail + 2] or v[tail + 3]
+        v[UNMARKED + 4] = v[tail + 1]
+        v[UNMARKED + 5] = v[tail + 4]
+        v[UNMARKED + 6] = v[tail + 6]
+        v[UNMARKED + 7] = v[tail + 7]
+    return v
+
+
 @dataclass
 class Forest:
     x: np.ndarray
@@ -319,8 +341,14 @@ def fit(pages: list[Page], labels: list[np.ndarray], steps: int = STEPS) -> tupl
 MARK = "data-y"
 
 
+#: Attributes and tags that tell what an element is for (pages of the plain style lack them).
+TELLING = re.compile(r' (?:class|id|role)="[^"]*"'), re.compile(r"(</?)(?:article|main|section|nav|header|footer|aside|form)(?=[ >])")
+
+
 def make_page(rng: random.Random) -> str:
-    """A page whose block elements carry the label of the text in them as data-y."""
+    """A page whose block elements carry the label of the text in them as data-y. Most mark their parts by tags or classes. Plain
+    ones have div for these, so that only text, links and places tell; bare ones are text in the body, or text alone."""
+    style = rng.choices(["marked", "plain", "bare"], [60, 22, 18])[0]
     letters = "etaoinshrdlucmfwypvbgk" + rng.choice(["", "éèçàù", "äöüß", "ñóíá"])
     vocab = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(60)]
 
@@ -373,32 +401,49 @@ def make_page(rng: random.Random) -> str:
             return el("table", 1, el("tr", 1, "".join(el("td", 1, text(1, 4)) for _ in range(3))))
         if r < 0.94:
             return el("pre", 1, text(4, 30))
-        return junk[rng.choice(["ad", "share", "aside", "notice", "form"])]()
+        return junk[rng.choice(["ad", "share", "aside", "notice", "form"] if style == "marked" else ["share"])]()
 
+    if style == "bare":
+        lines = [text(8, 120) for _ in range(rng.choice([1, 1, 2, 3, 4, 6]))]
+        inner = rng.choice(["<br><br>", "\n\n", " ", "<br>"]).join(lines)
+        return inner if rng.random() < 0.4 else f'<html><head><title>{title()}</title></head><body {MARK}="1">{inner}</body></html>'
     parts = [body_part() for _ in range(rng.randint(1, 9))]
     if rng.random() < 0.9:
         parts.insert(0, el("h1", 1, title()))
+    # An article's own header and footer aren't of its text.
+    if style == "marked" and rng.random() < 0.35:
+        parts.append(el("footer", 0, rng.choice([lambda: "tags: " + ", ".join(rng.choices(vocab, k=rng.randint(1, 5))), lambda: el("p", 0, text(2, 14)), lambda: text(2, 20), lambda: links(3)])()))
+    if style == "marked" and rng.random() < 0.3:
+        parts.insert(0, el("header", 0, rng.choice([text(2, 8), el("p", 0, text(2, 12)), el("p", 0, title()), el("div", 0, title(), cls(*HINTS["share"]))])))
     if rng.random() < 0.3:
         parts = [el("div", 1, "".join(parts), cls("content", "text", "entry", "body") if rng.random() < 0.5 else "")]
     article = el(*rng.choice([("article", 1), ("article", 1), ("main", 1), ("div", 1), ("section", 1)]), "".join(parts), "")
-    if article.startswith(("<div", "<section")):
+    if article.startswith(("<div", "<section")) and rng.random() < 0.6:
         article = article.replace(f' {MARK}="1"', f' {cls(*HINTS["body"])} {MARK}="1"', 1)
-    before = [junk[k]() for k in rng.sample(["nav", "header", "ad", "notice", "aside", "form"], rng.randint(1, 4))]
-    after = [junk[k]() for k in rng.sample(["nav", "ad", "aside", "notice", "share", "form"], rng.randint(0, 3))] + ([comments()] if rng.random() < 0.4 else []) + [footer()]
+    if style == "plain":  # only such junk as its text gives away
+        before = [junk[k]() for k in rng.sample(["nav", "header"], rng.randint(0, 2))]
+        after = [junk[k]() for k in rng.sample(["nav", "share"], rng.randint(0, 2))] + ([el("footer", 0, "&copy; " + text(2, 8))] if rng.random() < 0.6 else [])
+        if rng.random() < 0.5:  # paragraphs, too
+            article = re.sub(r"(</?)p(?=[ >])", r"\1div", re.sub(rf'<p {MARK}="(.)">([^<]*)(?=<(?:p|div|h[123]|ul|ol|blockquote|table|pre|section|aside|footer|form)\b|$)', rf'<p {MARK}="\1">\2</p>', article))
+    else:
+        before = [junk[k]() for k in rng.sample(["nav", "header", "ad", "notice", "aside", "form"], rng.randint(1, 4))]
+        after = [junk[k]() for k in rng.sample(["nav", "ad", "aside", "notice", "share", "form"], rng.randint(0, 3))] + ([comments()] if rng.random() < 0.4 else []) + [footer()]
     inner = "".join(before) + article + "".join(after)
     if rng.random() < 0.3:
         inner = el("div", 0, inner, cls("wrapper", "page", "container"))
-    return f"<!DOCTYPE html><html><head><title>{title()}</title><style>p{{}}</style></head><body>{inner}</body></html>"
+    if style == "plain":
+        inner = TELLING[1].sub(r"\1div", TELLING[0].sub("", inner))
+    return f'<!DOCTYPE html><html><head><title>{title()}</title><style>p{{}}</style></head><body {MARK}="0">{inner}</body></html>'
 
 
 def labelled(source: str) -> tuple[Page, np.ndarray]:
     """The parsed page, the labels taken off; a segment's label is its element's."""
     marked: list[int] = []
     stripped = re.sub(rf' ?{MARK}="([01])"', lambda m: (marked.append(int(m[1])), "")[1], source)
-    page, y, tags = parse(stripped), [], iter(marked)
+    page, y, tags, has_head = parse(stripped), [], iter(marked), "<head>" in source
     for i, p in enumerate(page.parent):
-        # The root, head and body come first and carry no label.
-        y.append(y[p] if i in page.text else next(tags) if i > 2 else 0)
+        # The root (content if the page is text alone) and the head come first and carry no label.
+        y.append(y[p] if i in page.text else int(not marked) if i == 0 else 0 if i == 1 and has_head else next(tags))
     return page, np.array(y)
 
 
