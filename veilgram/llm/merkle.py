@@ -1,8 +1,10 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and pieces of paragraphs.
 
-A paragraph is a line. It is cut into pieces of words at content-defined places (after a word whose checksum is a
-multiple of PIECE), and paragraphs are cut into sections after a blank line or one whose digest is a multiple of
-SECTION; so an edit moves no cut but those beside it. Every node's digest covers its children's, the root's thus the
+A paragraph is a line. It is cut into pieces of words at content-defined places: where the checksum of the last two words is a
+multiple of PIECE, LEAST words on at least and MOST at most; words of over LONG bytes are taken as several, of up to MOST_BYTES
+each, cut after certain bytes. Paragraphs are cut into sections after a blank line or one whose digest is a multiple of
+SECTION. So an edit moves no cut but those beside it, a short text has some pieces, and no piece is large, whatever
+the text repeats. Every node's digest covers its children's, the root's thus the
 exact text: roots test equality, and walking down differing branches locates edits.
 
 A fingerprint is the tree: the root in hex, a colon, and the sections, split by |, of paragraphs, split by commas, of leaf
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +35,10 @@ from pyspark.sql import functions as F
 
 from veilgram.llm import common
 
-PIECE, SECTION = 6, 8
+PIECE, LEAST, MOST, SECTION = 3, 2, 16, 8
+LONG, MOST_BYTES = 48, 64
+#: Parts of a long word: up to a byte that is 5 modulo 8, or MOST_BYTES.
+PARTS = re.compile(b"(?s).{3,%d}?[%s]|.{1,%d}" % (MOST_BYTES - 1, b"".join(re.escape(bytes([c])) for c in range(5, 256, 8)), MOST_BYTES))
 
 
 def digest(tag: bytes, data: bytes) -> bytes:
@@ -51,13 +57,23 @@ class Tree:
         return f"{self.root.hex()}:{'|'.join(marks)}"
 
 
+def in_parts(word: bytes) -> list[bytes]:
+    """Those but the last end with a byte that no text has, so that parts and words are told apart."""
+    parts = PARTS.findall(word)
+    return [*[p + b"\xff" for p in parts[:-1]], parts[-1]]
+
+
 def paragraph(line: bytes) -> tuple[bytes, list[bytes]]:
+    """Digests of a line and of its pieces."""
     words = line.split(b" ")
-    leaves, at = [], 0
+    if len(line) > LONG and max(map(len, words)) > LONG:
+        words = [x for w in words for x in (in_parts(w) if len(w) > LONG else [w])]
+    leaves, at, last = [], 0, 0
     for i, v in enumerate(map(crc32, words), 1):
-        if v % PIECE == 0:
+        if i - at >= LEAST and (v + 3 * last) % PIECE == 0 or i - at >= MOST:
             leaves.append(digest(b"leaf", b" ".join(words[at:i])))
             at = i
+        last = v
     if at < len(words) and line:
         leaves.append(digest(b"leaf", b" ".join(words[at:])))
     return digest(b"paragraph", b"".join(leaves)), leaves
@@ -148,7 +164,7 @@ def compare(a: str, b: str) -> tuple[float, list[int], list[int]]:
         return 1.0, [], []
     nodes = sum(sum(map(size, t[33:].split("|"))) if len(t) > 33 else 0 for t in (a, b))
     shared, rest_a, rest_b = walk(a, b)
-    return 2.0 * shared / nodes, rest_a, rest_b
+    return min(2.0 * shared / nodes, 1 - 1 / (nodes + 1)), rest_a, rest_b  # leaf digests are short, so all may seem to match
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
