@@ -28,6 +28,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SPACE = "▁"
 HELD, HELD_PIECES, LONG = 1 << 19, 1 << 22, 48
 #: Rank of pairs that make no piece.
 NEVER = 1 << 62
+#: Segments that are merged side by side (in cache).
+SIDE_BY_SIDE = 1 << 12
 #: Fixed values of the model format: kinds of pieces, and numbers of fields.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PIECES, TRAINER, NORMALIZER, DENORMALIZER = 1, 2, 3, 5
@@ -154,6 +157,15 @@ class Segments(dict):
         self.ends.append(len(self.ids))
         return n
 
+    def fill(self, segments: list[str]) -> None:
+        """Short segments that aren't here yet, merged side by side."""
+        known, ids, sizes, counts = self.model.merged_together(segments)
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+        self.sizes.frombytes(sizes.astype(np.int32).tobytes())
+        first = len(self.ends) - 1
+        self.ends.frombytes((self.ends[-1] + np.cumsum(counts)).astype(np.int64).tobytes())
+        self.update(zip(known, range(first, first + len(known)), strict=True))
+
     def pieces_at(self, n: int) -> tuple[array, array]:
         a, b = self.ends[n], self.ends[n + 1]
         return self.ids[a:b], self.sizes[a:b]
@@ -192,6 +204,8 @@ class Model:
         self.segment = re.compile(f"{SPACE}+[{re.escape(inner)}]*|[{re.escape(inner)}]+|[^{SPACE}{re.escape(inner)}]" if parted and inner else "(?s:.+)")
         self.shown = [self.surface(i) for i in range(len(self.texts))]
         self.silent = np.array([k in (CONTROL, UNKNOWN) for k in self.kinds])
+        self.size_of = np.array(self.sizes, np.int64)
+        self.pair_table()
         self.met = Segments(self)
 
     # normalisation
@@ -254,6 +268,77 @@ class Model:
         cuts = [0, *[i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.pairs], len(segment)]
         return [segment[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def pair_table(self) -> None:
+        """Ranks and results of all pairs of symbols that make a piece, by code; a number for each character in pieces."""
+        n = len(self.texts)
+        chars = {c for x in self.ids for c in x}
+        symbol = self.ids | {c: n + k for k, c in enumerate(sorted(chars - self.ids.keys()))}  # these have no piece of their own
+        self.char_ids = np.full(0x110000, -2, np.int32)
+        for c in chars:
+            self.char_ids[ord(c)] = symbol[c]
+        pairs = sorted((symbol[x[:k]] << 32 | symbol[x[k:]], self.rank[x], i) for x, i in self.ids.items() for k in range(1, len(x)) if x[:k] in symbol and x[k:] in symbol)
+        self.pair_codes, self.pair_ranks, self.pair_ids = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ([-1], [NEVER], [0])))
+
+    def pair_at(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each pair in the table, and its rank."""
+        code = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
+        at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+        return at, np.where(self.pair_codes[at] == code, self.pair_ranks[at], NEVER)
+
+    def merged_together(self, segments: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Segments in another order, the ids and sizes of their pieces in a row, and how many each has."""
+        segments = sorted(segments, key=len)
+        ids, counts = [], []
+        for a in range(0, len(segments), SIDE_BY_SIDE):
+            some = segments[a : a + SIDE_BY_SIDE]
+            size = np.fromiter(map(len, some), np.int64, len(some))
+            table = np.full((len(some), int(size[-1]) + 1), -1, np.int32)
+            inside = np.arange(table.shape[1]) < size[:, None]
+            table[inside] = self.char_ids[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            size = self.merge_rows(table, size)
+            ids.append(table[np.arange(table.shape[1]) < size[:, None]])
+            counts.append(size)
+        flat, n = np.concatenate(ids), np.concatenate(counts)
+        sizes = self.size_of[np.clip(flat, 0, None)]
+        lost = (flat < 0) | (flat >= len(self.texts))
+        if not lost.any():
+            return segments, flat, sizes, n
+        # Segments with characters that have no piece are encoded alone, and put in place.
+        ends, parts, at = np.cumsum(n), [], 0
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(lost), "right")).tolist():
+            begin, end, own = int(ends[k] - n[k]), int(ends[k]), self.pieces_of(segments[k])
+            parts += [(flat[at:begin], sizes[at:begin]), own]
+            n[k], at = len(own[0]), end
+        parts.append((flat[at:], sizes[at:]))
+        flat, sizes = (np.concatenate([np.asarray(p[i], np.int64) for p in parts]) for i in (0, 1))
+        return segments, flat, sizes, n
+
+    def merge_rows(self, table: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Merges each row of symbols (padded by -1) in place until no pair makes a piece; how many symbols are left."""
+        row, size = np.arange(len(table)), size.copy()
+        ids, (_, ranks) = table, self.pair_at(table[:, :-1], table[:, 1:])
+        column = np.arange(ids.shape[1])
+        while len(row):
+            at = ranks.argmin(1)
+            here = np.arange(len(row))
+            going = ranks[here, at] < NEVER
+            if not going.all():
+                table[row[~going]] = ids[~going]
+                row, ids, ranks, at = row[going], ids[going], ranks[going], at[going]
+                here = np.arange(len(row))
+                if not len(row):
+                    break
+            pair, _ = self.pair_at(ids[here, at], ids[here, at + 1])
+            behind = column[None, :-1] > at[:, None]
+            ids = np.concatenate([np.where(behind, ids[:, 1:], ids[:, :-1]), np.full((len(row), 1), -1, ids.dtype)], axis=1)
+            ids[here, at] = self.pair_ids[pair]
+            ranks = np.concatenate([np.where(behind[:, :-1], ranks[:, 1:], ranks[:, :-1]), np.full((len(row), 1), NEVER)], axis=1)
+            ranks[here, at] = self.pair_at(ids[here, at], ids[here, at + 1])[1]
+            left = np.flatnonzero(at)
+            ranks[left, at[left] - 1] = self.pair_at(ids[left, at[left] - 1], ids[left, at[left]])[1]
+            size[row] -= 1
+        return size
+
     def merged(self, segment: str) -> list[str]:
         """The best pair's rank is found among all of a short segment's; a long one keeps its pairs in a heap."""
         if len(segment) > LONG:
@@ -309,7 +394,9 @@ class Model:
             self.met = Segments(self)
         norms = [self.normalised(t) for t in texts]
         rows = [self.segment.findall(n) for n, _ in norms]
-        number = np.fromiter(map(self.met.__getitem__, (s for r in rows for s in r)), np.int64, sum(map(len, rows)))
+        if new := [s for s in set().union(*rows).difference(self.met) if len(s) <= LONG]:
+            self.met.fill(new)
+        number = np.fromiter(map(self.met.__getitem__, chain.from_iterable(rows)), np.int64, sum(map(len, rows)))
         ends, ids, sizes = np.array(self.met.ends), np.array(self.met.ids, np.int32), np.array(self.met.sizes, np.int64)
         start, n = ends[number], ends[number + 1] - ends[number]
         at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
