@@ -87,6 +87,13 @@ class LineRuns:
         b = b.withColumnRenamed("doc_id", "other").hint("merge")
         return a.join(b, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("doc_id", "other").alias("doc_id"))
 
+    def drop(self) -> None:
+        """Takes the runs off the catalog and the disk."""
+        for run in [r for level in self.levels for r in level]:
+            self.spark.sql(f"DROP TABLE {run}")
+            common.delete(self.spark, self.path(run))
+        self.levels = []
+
     def fresh(self, batch: DataFrame) -> DataFrame:
         """h1, h2, doc_id of the keys of the batch that no run holds."""
         first = batch.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
@@ -138,8 +145,9 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, l
     for b in range(len(cuts) + 1):
         found = runs.add(all_keys.filter(F.col("batch") == b).select("h1", "h2", "doc_id"), f"{root}/batch-{b}")
         drops = found if drops is None else drops.unionByName(found)
-    # A document's keys are no more than its own lines.
     common.delete(spark, f"{root}/keys")
+    runs.drop()  # the drops are written; a caller that goes on adding batches has LineRuns of its own
+    # A document's keys are no more than its own lines.
     per_doc = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias(drop)).withColumnRenamed("doc_id", own)
     joined = docs.withColumn(own, ident).join(per_doc, own, "left").drop(own)
     where = {c: i for i, c in enumerate(joined.columns)}
