@@ -103,3 +103,15 @@ def test_merkle_is_below_one_though_leaves_collide(monkeypatch):
     real = merkle.digest
     monkeypatch.setattr(merkle, "digest", lambda tag, data: b"\0" * 3 + real(tag, data)[3:] if tag == b"leaf" else real(tag, data))
     assert 0 < merkle.compare(mark("a b c d"), mark("a b c e"))[0] < 1
+
+
+def test_nothing_is_left_behind(spark):
+    """No table in the catalog and no cached rows, once a query's result is there."""
+    from veilgram.llm import line_dedup, simhash
+
+    sf = "/root/testdata/sf0.001"
+    tables, held = {t.name for t in spark.catalog.listTables()}, spark.sparkContext._jsc.getPersistentRDDs().size()
+    for query in (line_dedup.query, simhash.query):
+        assert query(spark, sf).count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held

@@ -135,7 +135,9 @@ def links(nodes: DataFrame) -> DataFrame:
     few = shared.filter(F.col("n") <= PAIRS)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
-    return pairs.unionByName(hub_links(shared.filter(F.col("n") > PAIRS).select("fp").distinct()))
+    out = scratch.put("links", pairs.unionByName(hub_links(shared.filter(F.col("n") > PAIRS).select("fp").distinct())))
+    scratch.drop("shared")
+    return out
 
 
 def hub_links(many: DataFrame) -> DataFrame:
