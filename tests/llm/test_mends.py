@@ -115,3 +115,66 @@ def test_nothing_is_left_behind(spark):
         assert query(spark, sf).count() > 0
     assert {t.name for t in spark.catalog.listTables()} == tables
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
+# Rows that the other tests leave out: several without an id, repeated ids, rows repeated whole, extra columns.
+
+
+def odd(spark):
+    texts = ["one two three four five six", "one two three four five six", "seven eight nine ten\neleven twelve", None, "", "one two three four five seven", "a b c d e f g"]
+    rows = [(i, t, "x", 7) for i, t in zip([None, None, 3, None, 3, 4, None], texts, strict=True)] + [(4, texts[5], "x", 7)] * 2 + [(None, texts[6], "x", 7)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, fp string, n_chars int").repartition(3)
+
+
+def test_scores_of_rows_without_ids_and_of_repeated_rows(spark):
+    from veilgram.llm import lm_score
+
+    rows, docs = odd(spark)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_unigram, r.score_micro) for r in lm_score.scores(docs).collect())
+    one = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_unigram, r.score_micro) for r in lm_score.scores(docs.coalesce(1)).collect())
+    assert got == one and len(got) == len(rows)
+    # Ids say nothing of a score: with others, each text's is the same.
+    named = spark.createDataFrame([(i, t) for i, (_, t, *_) in enumerate(rows)], "doc_id long, text string")
+    again = {r.doc_id: (r.n_words, r.n_unigram, r.score_micro) for r in lm_score.scores(named).collect()}
+    assert sorted(again.values()) == sorted(x[2:] for x in got)
+
+
+def test_simhash_of_rows_without_ids_and_of_repeated_ids(spark):
+    from veilgram.llm import simhash
+
+    rows, docs = odd(spark)
+    got = simhash.components(docs).collect()
+    assert len(got) == len(rows)
+    named = {i: t for i, (_, t, *_) in enumerate(rows)}
+    marks = {r.doc_id: r.fp for r in simhash.components(spark.createDataFrame(list(named.items()), "doc_id long, text string")).collect()}
+    assert sorted(r.fp for r in got) == sorted(marks.values())
+    by = {}
+    for (i, *_), k in zip(rows, named, strict=True):
+        by.setdefault(marks[k], []).append(i)
+    for r in got:  # these fingerprints are far apart but for equal ones, so a component is a fingerprint
+        ids = [i for i in by[r.fp] if i is not None]
+        assert r.component_id == (min(ids) if ids else None) or any((r.fp ^ f) & (1 << 64) - 1 and ((r.fp ^ f) & (1 << 64) - 1).bit_count() <= 2 for f in by)
+
+
+def test_merkle_of_rows_without_ids_and_of_repeated_ids(spark):
+    rows, docs = odd(spark)
+    got = merkle.compared(docs).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.fingerprint, r.n_chars) for r in got) == sorted((i is None, i or 0, mark(t or ""), len(t or "")) for i, t, *_ in rows)
+    assert sorted(map(str, merkle.compared(docs.coalesce(1)).collect())) == sorted(map(str, got))
+
+
+def test_html_of_repeated_rows_and_without_ids(spark):
+    page = f"<body><nav><a href=/>Home</a></nav><article><p>{ONE}</p></article></body>"
+    rows = [(None, "u", page), (None, "u", page), (2, None, page), (2, None, page), (None, None, None)]
+    got = [r.text for r in html_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == ["", *[ONE] * 4]
+
+
+def test_chat_of_turns_without_number_and_with_other_columns(spark):
+    from veilgram.llm import chat
+
+    rows = [(1, None, "user", "late", "x"), (1, 0, "user", "first", "y"), (1, None, "assistant", "later", "z")]
+    frames = [spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns string").repartition(n) for n in (1, 3)]
+    a, b = (chat.digests(chat.format_chats(f)).first() for f in frames)
+    assert a == b and a.n_turns == 3 and a.loss_chars == len("later")

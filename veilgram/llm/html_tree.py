@@ -12,7 +12,7 @@ latter from the same message passing. The given tables hold no page labels, so t
 make_page(): varied layouts of known parts, each labelled content or not as it is written. Training takes PAGES such
 pages on the driver and doesn't depend on the input.
 
-Defined cases: null or empty html has empty text; scripts, styles, comments, head, templates and other raw or hidden
+Defined cases: null or empty html has empty text; scripts, styles, comments, <noscript>, head, templates and other raw or hidden
 elements yield no segments; unclosed and stray tags are repaired by the stack; <br> is white space; equal rows are
 rows of their own; an empty table gives no rows; long pages are processed whole, in batches of BATCH_NODES nodes, and parsed in
 time in proportion to their length. Markup is read by the HTML standard's states: quotes count only where a value begins (a

@@ -14,8 +14,8 @@ Verification: members of a key are compared by exact bit count. Keys of over PAI
 pairs: a member meets the others at hubs, itself and its 64 one-bit neighbours; two members share a hub just if they
 differ in 2 bits at most, and a hub has 65 members at most.
 
-Defined cases: null text has no words; documents of equal fingerprint are one node; null doc_id counts as largest; an
-empty table gives no rows; a fingerprint of a very large group of documents is one row until the last join."""
+Defined cases: null text has no words; documents of equal fingerprint are one node; null doc_id counts as largest; other columns
+are not read; an empty table gives no rows; a fingerprint of a very large group of documents is one row until the last join."""
 
 from __future__ import annotations
 
