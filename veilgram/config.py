@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+#: Type codes, outcomes and metrics of the interchange files and the report (fixed values).
 SUBSET_TYPES = ("f_h", "f_l", "f_a", "q_f", "q_r", "q_a", "l_h", "l_s", "l_a", "r1", "r2", "r3")
 BASE_TYPE = "b"
 ALL_TYPES = (*SUBSET_TYPES, BASE_TYPE)
