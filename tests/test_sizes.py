@@ -19,3 +19,14 @@ def test_values_without_words_keep_their_breaks(spark, tmp_path, name):
     texts = ["one two three", "123", "", None, "only", " \n ", "l'une"]
     d = documents(spark, tmp_path, [(i, texts[i % len(texts)], "en") for i in range(30)])
     assert compare(spark, duck(d), QUERIES[name], ORACLES[name], d) == 30
+
+
+@pytest.mark.parametrize("name", ["qgram_dice", "qgram_jaccard", "qgram_hamming", "bf_dice", "bf_hamming", "bf_jaccard"])
+def test_pairs_of_a_frequent_key_are_spread(spark, monkeypatch, name):
+    """Blocks of 3 change no pair, and no join has a frequent key for its only key."""
+    from veilgram.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    assert compare(spark, duck(SF), QUERIES[name], ORACLES[name], SF) > 0
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_i#" in plan and plan.count("Join Inner") == 3  # sizes to each side, and the cells
