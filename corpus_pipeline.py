@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgram.llm import common, decontaminate, mixing, near_dups, quality, shard
+from veilgram.llm import common, decontaminate, mixing, near_dups, quality, shard, simhash
 
 
 def beside(docs: DataFrame, taken: set[str], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -26,8 +26,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8)."""
-    return near_dups.deduplicated(docs)
+    """One document of each group of near copies stays. Fingerprints at 2 or fewer differing bits link documents (simhash.py); the
+    exact similarity of five-word shingles, 0.8 and more, also links those whose fingerprints are further apart."""
+    return near_dups.deduplicated(docs, linked=simhash.linked)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,9 +146,9 @@ def hub_links(many: DataFrame) -> DataFrame:
     return hubs.filter(F.size("members") > 1).select(F.array_min("members").alias("a"), F.explode("members").alias("b")).filter("a <> b")
 
 
-def components(docs: DataFrame, n: int = WORDS) -> DataFrame:
+def components(docs: DataFrame, n: int = WORDS, scratch: common.Scratch | None = None) -> DataFrame:
     """doc_id, fp, component_id of each row."""
-    scratch = common.Scratch(docs.sparkSession, "simhash")
+    scratch = scratch or common.Scratch(docs.sparkSession, "simhash")
     marks = scratch.put("marks", fingerprints(docs, n))
     order = F.coalesce("doc_id", F.lit(common.LAST))
     nodes = scratch.put("nodes", marks.groupBy("fp").agg(F.min(order).alias("least")))
@@ -159,6 +159,15 @@ def components(docs: DataFrame, n: int = WORDS) -> DataFrame:
     return out.select("doc_id", "fp", F.when(F.col("component_id") < common.LAST, F.col("component_id")).alias("component_id"))
 
 
+def linked(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """a, b: each document that isn't its component's first, with that one."""
+    own = common.Scratch(docs.sparkSession, "simhash")
+    rest = components(docs, scratch=own).filter("component_id <> doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    out = scratch.put("fingerprints", rest.distinct())
+    own.drop("marks", "nodes")
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
