@@ -30,3 +30,41 @@ def test_pairs_of_a_frequent_key_are_spread(spark, monkeypatch, name):
     assert compare(spark, duck(SF), QUERIES[name], ORACLES[name], SF) > 0
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "_i#" in plan and plan.count("Join Inner") == 3  # sizes to each side, and the cells
+
+
+@pytest.mark.parametrize("prob", [0.0, 0.1, 0.5, 0.7310585786300049, 1.0])
+def test_digests_are_compared_as_they_are(spark, prob):
+    """The text comparison is the numeric one, at the border too."""
+    from pyspark.sql import functions as F
+
+    from veilgram.functions.hashing import unit
+    from veilgram.operators.harden import digest_up_to
+
+    last = digest_up_to(prob)
+    if prob < 1:
+        n = int(last[:8], 16)
+        assert n / 2**32 <= prob < (n + 1) / 2**32
+    rows = spark.range(2000).select((unit(F.col("id").cast("string")) <= prob).alias("a"), (F.md5(F.col("id").cast("string")) <= last).alias("b"))
+    assert rows.filter("a <> b").count() == 0
+
+
+def test_probes_are_held_packed(spark):
+    """What a task holds of a probe is its words, not a number a bit."""
+    import numpy as np
+
+    from veilgram.operators import match
+
+    words = np.arange(400, dtype=np.uint64).reshape(100, 4)
+    p = match.Probes("f_h", np.arange(100), words, 256).ready()
+    assert sum(v.nbytes for v in vars(p).values() if isinstance(v, np.ndarray)) < 100 * 64
+
+
+def test_noise_keys_are_made_once_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from veilgram.operators import harden
+
+    rows = spark.createDataFrame([("f_h", "p", "1", [3, 5])], "type string, side string, rec_id string, pos array<int>")
+    plan = harden.harden(rows, 64, "ala", 0.1, 42).select("type", "n1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_key" in plan.split("Repartition")[0] and "conv(" not in plan
+    assert harden.harden(rows, 64, "ala", 0.0, 42).select(F.to_json("pos").alias("p")).first().p == "[3,5]"
