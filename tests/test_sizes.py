@@ -68,3 +68,19 @@ def test_noise_keys_are_made_once_a_row(spark):
     plan = harden.harden(rows, 64, "ala", 0.1, 42).select("type", "n1")._jdf.queryExecution().optimizedPlan().toString()
     assert "_key" in plan.split("Repartition")[0] and "conv(" not in plan
     assert harden.harden(rows, 64, "ala", 0.0, 42).select(F.to_json("pos").alias("p")).first().p == "[3,5]"
+
+
+def test_pairs_of_a_cell_come_by_member(spark):
+    """One id stays while the other goes through a block by ord, so that files of pairs stay small; rows of a key are met as blocks."""
+    from pyspark.sql import functions as F
+
+    from veilgram.operators import pairs
+
+    rows = spark.createDataFrame([(str(o), o, "k", o % 7) for o in ((37 * i) % 101 for i in range(101))], "rec_id string, ord long, k string, n int")
+    found = pairs.within(rows, "k", lambda a, b: (a("n") + b("n")).cast("double"))
+    got = [(int(r.a_id), int(r.b_id), r.sim) for r in found.collect()]
+    assert sorted(got) == [(a, b, float(a % 7 + b % 7)) for a in range(101) for b in range(a + 1, 101)]
+    stays = sum(p[0] == q[0] or p[1] == q[1] for p, q in zip(got, got[1:], strict=False))
+    assert stays >= len(got) - 2 * 101
+    later = [q[1] > p[1] for p, q in zip(got, got[1:], strict=False) if p[0] == q[0]]
+    assert all(later) and found.agg(F.count("*")).first()[0] == 5050
