@@ -19,3 +19,17 @@ def test_the_dedup_stage_links_by_fingerprints_and_by_similarity(spark):
     frame = spark.createDataFrame([*enumerate(texts), (5, texts[1]), (None, texts[0])], "doc_id long, text string")
     assert {r.doc_id for r in near_dups.deduplicated(frame).collect()} == {0, 1, 2, 4, None}
     assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, frame, "").collect()} == {0, 2, 4, None}
+
+
+def test_raking_queries_stay_small(spark, monkeypatch):
+    """However many rounds are raked, a query holds the windows of STEP of them, with the same weights to the last bit."""
+    from veilgram.llm import mixing
+
+    cell = spark.createDataFrame([(f"s{i % 3}", f"l{i % 4}", f"t{i % 5}", 1 + i * i % 97) for i in range(60)], "source string, lang string, topic string, tokens long").groupBy("source", "lang", "topic").agg({"tokens": "sum"})
+    cell = cell.withColumnRenamed("sum(tokens)", "tokens")
+    seen, sql = [], type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, query, *a, **b: seen.append(query.count("OVER")) or sql(self, query, *a, **b))
+    small = sorted(map(tuple, mixing.raked(cell, rounds=11, tolerance=-1.0).collect()))
+    assert len(small) == 60 and sum(seen) == 33 and max(seen) <= 6
+    monkeypatch.setattr(mixing, "STEP", mixing.BLOCK)
+    assert small == sorted(map(tuple, mixing.raked(cell, rounds=11, tolerance=-1.0).collect())) and max(seen) == 24

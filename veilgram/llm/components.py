@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,22 +14,29 @@ def _state(e: DataFrame) -> tuple[int, int]:
     return r["n"], int(r["h"])
 
 
+def _kept(scratch: common.Scratch, e: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges written, and their state, which is also what tells the number of files: two jobs a round."""
+    e = e.persist(StorageLevel.DISK_ONLY)
+    state = _state(e)
+    out = scratch.put("edges", e, 1 + state[0] // common.FILE_ROWS)
+    e.unpersist()
+    return out, state
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """edges (a, b) of one orderable type -> (b, a): each node but a component's smallest, with the smallest. Every
     step keeps a number of edges no larger than before; each round's edges are written and the last ones' deleted; rounds
     grow with the logarithm squared of the longest path."""
     scratch = common.Scratch(edges.sparkSession, "stars")
     e = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = scratch.put("edges", e)
-    before = _state(e)
+    e, before = _kept(scratch, e)
     while before[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        e = scratch.put("edges", small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct())
-        now = _state(e)
+        e, now = _kept(scratch, small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct())
         if now == before:
             break
         before = now

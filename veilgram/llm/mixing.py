@@ -33,6 +33,8 @@ from veilgram.llm import common
 ROUNDS, BLOCK, TOLERANCE, SEED, TEMPERATURE, MARGINS = 160, 8, 1e-10, 7, 0.5, ("source", "lang", "topic")
 TOPICS, RARE, LENGTH = 12, 20, 4
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rounds that one query rakes: windows in each other cost the driver memory by their depth.
+STEP = 2
 #: Cells that one task rakes, at most.
 CELLS = 100_000
 
@@ -109,8 +111,8 @@ def margin_error(rows: DataFrame) -> float:
 
 
 def raked(cell: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """source, lang, topic, tokens, share of each margin, w: w sums to 1. Each BLOCK rounds are one job whose cells are written; one
-    partition needs no shuffle for its margins' sums."""
+    """source, lang, topic, tokens, share of each margin, w: w sums to 1. Each STEP rounds are one job whose cells are written,
+    and each BLOCK rounds the margins are looked at; one partition needs no shuffle for its margins' sums."""
     scratch = common.Scratch(cell.sparkSession, "raking")
     cell = scratch.put("cells", cell)
     rows = cell.withColumn("w", F.col("tokens").cast("double"))
@@ -119,11 +121,12 @@ def raked(cell: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     few = cell.count() <= CELLS
     rows = scratch.put("rows", rows, 1 if few else None)
     for done in range(0, rounds, BLOCK):
-        step, rest = "{rows}", "source, lang, topic, tokens, " + ", ".join(f"share_{m}" for m in MARGINS)
-        for _ in range(min(BLOCK, rounds - done)):
-            for m in MARGINS:
-                step = f"(SELECT {rest}, coalesce(w * share_{m} / nullif(sum(w) OVER (PARTITION BY {m}), 0), 0) AS w FROM {step})"
-        rows = scratch.put("rows", cell.sparkSession.sql(f"SELECT * FROM {step}", rows=rows.coalesce(1) if few else rows), 1 if few else None)
+        for at in range(done, min(done + BLOCK, rounds), STEP):
+            step, rest = "{rows}", "source, lang, topic, tokens, " + ", ".join(f"share_{m}" for m in MARGINS)
+            for _ in range(min(STEP, done + BLOCK - at, rounds - at)):
+                for m in MARGINS:
+                    step = f"(SELECT {rest}, coalesce(w * share_{m} / nullif(sum(w) OVER (PARTITION BY {m}), 0), 0) AS w FROM {step})"
+            rows = scratch.put("rows", cell.sparkSession.sql(f"SELECT * FROM {step}", rows=rows.coalesce(1) if few else rows), 1 if few else None)
         if margin_error(rows.coalesce(1) if few else rows) <= tolerance:
             break
     scratch.drop("cells")
