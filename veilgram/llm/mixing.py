@@ -111,8 +111,8 @@ def margin_error(rows: DataFrame) -> float:
 
 
 def raked(cell: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """source, lang, topic, tokens, share of each margin, w: w sums to 1. Each STEP rounds are one job whose cells are written,
-    and each BLOCK rounds the margins are looked at; one partition needs no shuffle for its margins' sums."""
+    """source, lang, topic, tokens, share of each margin, w: w sums to 1. Each STEP rounds (BLOCK, by shuffles) are one job
+    whose cells are written, and each BLOCK rounds the margins are looked at; one partition needs no shuffle for its margins' sums."""
     scratch = common.Scratch(cell.sparkSession, "raking")
     cell = scratch.put("cells", cell)
     rows = cell.withColumn("w", F.col("tokens").cast("double"))
@@ -120,10 +120,11 @@ def raked(cell: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
         rows = rows.join(shares(cell, m, (targets or {}).get(m)).withColumnRenamed("share", f"share_{m}"), m)
     few = cell.count() <= CELLS
     rows = scratch.put("rows", rows, 1 if few else None)
+    size = STEP if few else BLOCK
     for done in range(0, rounds, BLOCK):
-        for at in range(done, min(done + BLOCK, rounds), STEP):
+        for at in range(done, min(done + BLOCK, rounds), size):
             step, rest = "{rows}", "source, lang, topic, tokens, " + ", ".join(f"share_{m}" for m in MARGINS)
-            for _ in range(min(STEP, done + BLOCK - at, rounds - at)):
+            for _ in range(min(size, done + BLOCK - at, rounds - at)):
                 for m in MARGINS:
                     step = f"(SELECT {rest}, coalesce(w * share_{m} / nullif(sum(w) OVER (PARTITION BY {m}), 0), 0) AS w FROM {step})"
             rows = scratch.put("rows", cell.sparkSession.sql(f"SELECT * FROM {step}", rows=rows.coalesce(1) if few else rows), 1 if few else None)
