@@ -33,3 +33,32 @@ def test_raking_queries_stay_small(spark, monkeypatch):
     assert len(small) == 60 and sum(seen) == 33 and max(seen) <= 6
     monkeypatch.setattr(mixing, "STEP", mixing.BLOCK)
     assert small == sorted(map(tuple, mixing.raked(cell, rounds=11, tolerance=-1.0).collect())) and max(seen) == 24
+
+
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    """Each round is jobs and plans that the driver holds; a path took one round after the other. More edges than a task joins at a time give the same."""
+    from veilgram.llm import common, components
+
+    rng = random.Random(5)
+    ids = list(range(300))
+    rng.shuffle(ids)
+    edges = [(ids[i], ids[i + 1]) for i in range(199)] + [(ids[250], ids[i]) for i in range(200, 300)]
+    want = {i: min(part) for part in (ids[:200], ids[200:]) for i in part if i != min(part)}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    written, put = [], common.Scratch.put
+    monkeypatch.setattr(common.Scratch, "put", lambda self, name, *a: written.append(name) or put(self, name, *a))
+    assert {r.b: r.a for r in components.stars(frame).collect()} == want and len(written) <= 2
+    monkeypatch.setattr(components, "EDGES", 7)
+    assert {r.b: r.a for r in components.stars(frame).collect()} == want and len(written) > 4
+    assert components.stars(frame.limit(0)).count() == 0
+
+
+def test_sieves_go_to_the_tasks_as_bits(spark):
+    import numpy as np
+
+    ids = spark.createDataFrame([(i,) for i in (3, 4, 1000, 2**40)], "doc_id long")
+    sieve = near_dups.sieve_of(ids)
+    assert sieve.nbytes <= near_dups.SIEVE // 8
+    at = [r.p for r in ids.select(near_dups.place("doc_id").alias("p")).collect()]
+    rest = np.array([p for p in range(200) if p not in at], np.int32)
+    assert near_dups.in_sieve(sieve, np.array(at, np.int32)).all() and not near_dups.in_sieve(sieve, rest).any()
