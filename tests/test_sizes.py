@@ -84,3 +84,14 @@ def test_pairs_of_a_cell_come_by_member(spark):
     assert stays >= len(got) - 2 * 101
     later = [q[1] > p[1] for p, q in zip(got, got[1:], strict=False) if p[0] == q[0]]
     assert all(later) and found.agg(F.count("*")).first()[0] == 5050
+
+
+def test_cells_are_dealt_to_several_tasks_a_core(spark):
+    from veilgram.operators import pairs
+
+    rows = spark.createDataFrame([(str(i), i, "k") for i in range(3000)], "rec_id string, ord long, k string")
+    found = pairs.within(rows, "k", lambda a, b: (a("ord") + b("ord")).cast("double"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    n = 8 * spark.sparkContext.defaultParallelism
+    assert plan.count("RepartitionByExpression [k#") == 2 and plan.count(f"], {n}") >= 2
+    assert found.count() == 3000 * 2999 // 2
