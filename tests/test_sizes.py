@@ -95,3 +95,41 @@ def test_cells_are_dealt_to_several_tasks_a_core(spark):
     n = 8 * spark.sparkContext.defaultParallelism
     assert plan.count("RepartitionByExpression [k#") == 2 and plan.count(f"], {n}") >= 2
     assert found.count() == 3000 * 2999 // 2
+
+
+def test_blocks_and_tasks_of_long_keys_are_bounded():
+    """Rows of a key are sent to a bounded number of blocks, however many they are; most tasks have pairs of one sum of sizes."""
+    from veilgram.operators import pairs
+
+    few = {n: max(1, 1000 - 40 * (n - 11) ** 2) for n in range(6, 17)}
+    for times in (1, 10, 100):
+        kinds, cells, n = pairs.laid_out([("an", n, m * times) for n, m in few.items()] + [("zz", 3, 5)], 64)
+        size = {b: s for key, s, first, k in kinds if key == "an" for b in range(first, first + k)}
+        assert set(size) == set(range(len(size))) and len(size) <= 2 * pairs.BLOCKS
+        assert {c[:3] for c in cells} == {("an", i, j) for j in size for i in range(j + 1)} | {("zz", 0, 0)}
+        assert len(cells) == len(size) * (len(size) + 1) // 2 + 1 and {c[3] for c in cells} <= set(range(n))
+        sums = {}
+        for key, i, j, task in cells:
+            sums.setdefault(task, set()).add((key, key == "an" and size[i] + size[j]))
+        assert sum(len(s) == 1 for s in sums.values()) > 0.8 * len(sums)
+    assert pairs.laid_out([], 64) == ([], [], 64)
+
+
+@pytest.mark.parametrize("size", ["n", None])
+def test_files_of_pairs_hold_few_bits_of_a_pair(spark, tmp_path, size):
+    """No id is written anew for each pair, and with sizes few values meet in a file."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from veilgram.operators import pairs
+
+    r = random.Random(5)
+    made = [(str(100000 + 7 * i), i, "k", r.getrandbits(20) | 1) for i in range(6000)]
+    rows = spark.createDataFrame(made, "rec_id string, ord long, k string, bits long").withColumn("n", F.bit_count("bits"))
+    found = pairs.within(rows, "k", lambda a, b: 2.0 * F.bit_count(a("bits").bitwiseAND(b("bits"))) / (a("n") + b("n")), size)
+    found.write.parquet(str(tmp_path / "out"))
+    held = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.filter("cast(a_id AS long) < cast(b_id AS long)").count() == 6000 * 5999 // 2
+    assert held < (0.8 if size else 1.2) * got.count(), held / got.count()
